@@ -15,7 +15,9 @@ from .common import _CODES, mix, partitions, ranges, settle, slices, text_bytes,
 GRAM = 32  # bytes of an anchor
 NULL = -(1 << 63)  # stands for a null id: the smallest
 ODD = 0x9E3779B97F4A7C15
-HOT = 20_000  # contexts of an anchor from which on its strings are grouped one by one
+CHUNK = 1 << 18  # bytes that are sorted together, if they are of more than one anchor
+MOST = 1 << 22  # anchors that may be broadcast: 32 MB
+HOT = 4_000  # contexts of an anchor from which on its strings are grouped one by one
 COLUMNS = (("a", "u8"), ("c", "u8"), ("id", "i8"), ("lo", "i4"), ("h", "i2"), ("n", "u2"))
 
 
@@ -81,7 +83,7 @@ def contexts(data: np.ndarray, at: np.ndarray, length: int, sums: Sums) -> tuple
         span += step
     where = np.flatnonzero(most == h)
     row = np.searchsorted(at, where, "right") - 1
-    return row, np.maximum(at[row], where - (length - GRAM)), np.minimum(at[row + 1], where + length), h[where]
+    return row, np.maximum(at[row], where - (length - GRAM)), np.minimum(at[row + 1], where + length), mix(h[where] + np.uint64(1))  # least hashes are all small: spread
 
 
 def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,6 +202,29 @@ def common_prefix(data: np.ndarray, suffixes: np.ndarray, most: int) -> np.ndarr
     return out
 
 
+def later_places(body: np.ndarray, size: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and place of each string of `length` bytes in the contexts that also starts earlier in one of them.
+
+    body: the contexts' bytes, joined; a context has size bytes and stands in document doc from lo on.
+    """
+    ends = np.cumsum(size)
+    data = np.r_[body, np.zeros(length + 16, np.uint8)]
+    suffixes = two_stage(data, length)
+    run = np.cumsum(~common_prefix(data, suffixes, length))
+    inside = suffixes < len(body)
+    suffixes, run = suffixes[inside], run[inside]
+    owner = np.searchsorted(ends, suffixes, "right")
+    whole = suffixes + length <= ends[owner]
+    suffixes, run, owner = suffixes[whole], run[whole], owner[whole]
+    place, doc = suffixes - (ends - size)[owner] + lo[owner], doc[owner]
+    order = np.lexsort((place, doc, run))
+    run, doc, place = run[order], doc[order], place[order]
+    new = np.r_[True, run[1:] != run[:-1]] if len(run) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(run)), 0)) if len(run) else np.zeros(0, np.int64)
+    later = (doc != doc[head]) | (place != place[head])
+    return doc[later], place[later]
+
+
 def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The spans of each document covered by strings of `length` bytes that also start earlier.
 
@@ -225,9 +250,11 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
             a, n = np.unique(a[distinct(a, sums.of(lo, hi))], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(a[n >= 8].view(np.int64)), pa.array(n[n >= 8])], ["a", "n"])
 
-    tally = rows.mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
-    # one in HOT contexts at most: bounded by the corpus's bytes / 35 / HOT, some MB for a TB
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r.a for r in tally.select("a").toLocalIterator()], np.int64).view(np.uint64)))
+    tally = settle(rows.mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT), "suffix-hot")
+    least = HOT
+    while tally.filter(F.col("n") >= least).count() > MOST:
+        least *= 4
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r.a for r in tally.filter(F.col("n") >= least).select("a").toLocalIterator()], np.int64).view(np.uint64)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -294,27 +321,24 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
     def sort(group: pa.Table) -> pa.Table:
         r = joined([unpack(b) for b in group.column("blob").to_pylist()])
         body = b"".join(group.column("body").to_pylist())
+        doc, one = ranked(r["id"], r["h"])
+        ids, h = r["id"][one], r["h"][one]
         size = r["n"].astype(np.int64)
-        ends = np.cumsum(size)
-        data = np.frombuffer(body + bytes(length + 16), np.uint8)
-        suffixes = two_stage(data, length)
-        shared = common_prefix(data, suffixes, length)
-        run = np.cumsum(~shared)
-        inside = suffixes < len(body)
-        suffixes, run = suffixes[inside], run[inside]
-        owner = np.searchsorted(ends, suffixes, "right")
-        whole = suffixes + length <= ends[owner]
-        suffixes, run, owner = suffixes[whole], run[whole], owner[whole]
-        doc, _ = ranked(r["id"], r["h"])
-        place = suffixes - (ends - size)[owner] + r["lo"][owner]
-        doc = doc[owner]
-        order = np.lexsort((place, doc, run))
-        run, doc, place, owner = run[order], doc[order], place[order], owner[order]
-        new = np.r_[True, run[1:] != run[:-1]] if len(run) else np.zeros(0, bool)
-        head = np.maximum.accumulate(np.where(new, np.arange(len(run)), 0)) if len(run) else np.zeros(0, np.int64)
-        later = (doc != doc[head]) | (place != place[head])
-        own = owner[later]
-        return pa.table(span_rows(r["id"][own], r["h"][own], place[later], place[later] + length), ["id", "h", "lo", "hi"])
+        first = np.cumsum(size) - size
+        order = np.argsort(r["a"], kind="stable")
+        anchor, size, first, doc, lo = r["a"][order], size[order], first[order], doc[order], r["lo"][order].astype(np.int64)
+        body = np.frombuffer(body, np.uint8)
+        found = []
+        begins = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        place = np.cumsum(size) - size
+        start = 0
+        while start < len(begins):  # anchors have no strings in common: some at a time, as many as make a chunk
+            stop = max(start + 1, int(np.searchsorted(place[begins], place[begins[start]] + CHUNK)))
+            part = slice(begins[start], begins[stop] if stop < len(begins) else len(anchor))
+            found.append(later_places(body[ranges(first[part], size[part])], size[part], doc[part], lo[part], length))
+            start = stop
+        doc, place = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table(span_rows(ids[doc], h[doc], place, place + length), ["id", "h", "lo", "hi"])
 
     fetched = rows.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(fetch, "part int, blob binary, body binary")
     return first.filter("a IS NULL").drop("a").unionByName(fetched.groupBy("part").applyInArrow(sort, SPANS))
