@@ -243,7 +243,7 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL)).alias("id"), F.pmod(F.hash(F.col(text)), F.lit(1 << 15)).cast("int").alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             data, at = text_bytes(part.column(2))
             sums = Sums(data)
             _, lo, hi, a = contexts(data, at, length, sums)
@@ -257,7 +257,7 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.a for r in tally.filter(F.col("n") >= least).select("a").toLocalIterator()], np.int64).view(np.uint64)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             data, at = text_bytes(part.column(2))
             sums = Sums(data)
             row, lo, hi, a = contexts(data, at, length, sums)
