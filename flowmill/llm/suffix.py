@@ -122,11 +122,17 @@ def ranked(ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows by anchor, context and place, and which of these repeat the row before."""
+    """The order of rows by anchor, context and place, and which of these repeat an earlier place."""
     rank, _ = ranked(r["id"], r["h"])
     order = np.lexsort((r["lo"], rank, r["c"], r["a"]))
-    a, c = r["a"][order], r["c"][order]
-    return order, np.r_[False, (a[1:] == a[:-1]) & (c[1:] == c[:-1])] if len(a) else np.zeros(0, bool)
+    if not len(order):
+        return order, np.zeros(0, bool)
+    a, c, rank, lo = r["a"][order], r["c"][order], rank[order], r["lo"][order]
+    first = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
+    head = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+    # a repeated row of the first's document at the first's place is that place once more
+    kept = first | (rank != rank[head]) | (lo != lo[head])
+    return order[kept], ~first[kept]
 
 
 def two_stage(data: np.ndarray, depth: int) -> np.ndarray:
