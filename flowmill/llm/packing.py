@@ -31,7 +31,7 @@ class Encoder:
     """
 
     path: str
-    most: int = 600_000
+    most: int = 150_000
     known: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -139,7 +139,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end: int, key: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = encoder_of(path), TaskContext.get().partitionId()
         seen, full = np.zeros(capacity, np.int64), 0
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids, at = encoder.encode(batch.column(1))
             n = np.diff(at) + 1
             bounds = np.concatenate([[0], np.cumsum(n)])
