@@ -33,23 +33,29 @@ class Net:
             "w1": normal(self.filters, self.hidden, by=self.filters**-0.5), "b1": np.zeros(self.hidden, np.float32), "w2": normal(2 * self.hidden, by=0.2), "b2": np.zeros(1, np.float32),
         }
 
-    def forward(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict]:
-        """One logit for each row of the joined bytes, every byte of each being seen."""
-        p, f = self.p, self.filters
+    def buffer(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' bytes, each row in blocks of its own and ended by STRIDE zeros at least, and the rows' first blocks."""
         lengths = np.diff(at)
-        blocks = (lengths + STRIDE + BLOCK - 1) // BLOCK  # at least STRIDE zeros end each row
-        first = np.concatenate([[0], np.cumsum(blocks)])
+        first = np.concatenate([[0], np.cumsum((lengths + STRIDE + BLOCK - 1) // BLOCK)])
         buf = np.zeros(int(first[-1]) * BLOCK, np.uint8)
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        buf[np.arange(len(data)) + (first[:-1] * BLOCK - at[:-1])[row]] = data
+        for k, start in enumerate(first[:-1] * BLOCK):
+            buf[start : start + lengths[k]] = data[at[k] : at[k + 1]]
+        return buf, first
+
+    def windows(self, buf: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embedded bytes of some whole blocks, and each filter's answer by block and window; last: rows' last blocks among them."""
+        p, f = self.p, self.filters
         x = p["bytes"][buf].reshape(-1, STRIDE * self.dims)
         y = x @ p["conv"]
         out = y[:, :f] + p["conv_b"]
         out[:-1] += y[1:, f:]
         np.maximum(out, 0, out=out)
-        out[first[1:] * (BLOCK // STRIDE) - 1] = 0  # the window that would reach into the next row
-        windows = out.reshape(-1, BLOCK // STRIDE, f)
-        block = windows.max(1)
+        out[(last + 1) * (BLOCK // STRIDE) - 1] = 0  # the window that would reach into the next row
+        return x, out.reshape(-1, BLOCK // STRIDE, f)
+
+    def joined(self, block: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict]:
+        """One logit for each row from the block maxima: the greater of two neighbours is a chunk's."""
+        p, blocks = self.p, np.diff(first)
         follows = np.ones(len(block), bool)
         follows[first[1:] - 1] = False  # a row's last block
         alone = np.repeat(blocks == 1, blocks)
@@ -62,7 +68,26 @@ class Net:
         mean, most = np.add.reduceat(h, starts) / count[:, None], np.maximum.reduceat(h, starts)
         joint = np.concatenate([mean, most], 1)
         logit = joint @ p["w2"] + p["b2"][0]
-        return logit, {"buf": buf, "x": x, "windows": windows, "block": block, "chunks": chunks, "follows": follows, "pooled": pooled, "left": left >= right, "h": h, "count": count, "most": most, "joint": joint, "first": first}
+        return logit, {"block": block, "chunks": chunks, "follows": follows, "pooled": pooled, "left": left >= right, "h": h, "count": count, "most": most, "joint": joint}
+
+    def forward(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict]:
+        """One logit for each row of the joined bytes, every byte of each being seen, and what the gradient needs."""
+        buf, first = self.buffer(data, at)
+        x, windows = self.windows(buf, first[1:] - 1)
+        logit, got = self.joined(windows.max(1), first)
+        return logit, got | {"buf": buf, "x": x, "windows": windows}
+
+    def logits(self, data: np.ndarray, at: np.ndarray, piece: int = 1024) -> np.ndarray:
+        """forward()'s logits with the filters' answers of only `piece` blocks in memory at a time, however long a row is."""
+        buf, first = self.buffer(data, at)
+        ends = first[1:] - 1
+        block = np.empty((int(first[-1]), self.filters), np.float32)
+        for a in range(0, len(block), piece):
+            b = min(a + piece, len(block))
+            c = min(b + 1, len(block))  # a block more, whose first bytes the last window sees
+            inside = ends[np.searchsorted(ends, a) : np.searchsorted(ends, c)] - a
+            block[a:b] = self.windows(buf[a * BLOCK : c * BLOCK], inside)[1][: b - a].max(1)
+        return self.joined(block, first)[0]
 
     def gradient(self, got: dict, d: np.ndarray) -> dict[str, np.ndarray]:
         """The gradient of a loss by the parameters; d: by the logits."""
@@ -116,7 +141,7 @@ class Net:
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         if len(at) < 2:
             return np.zeros(0)
-        return np.round(1 / (1 + np.exp(-np.clip(self.forward(data, at)[0].astype(np.float64), -40, 40))), 6)
+        return np.round(1 / (1 + np.exp(-np.clip(self.logits(data, at).astype(np.float64), -40, 40))), 6)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], allowed) -> list[tuple[str, int]]:
@@ -150,12 +175,12 @@ def score(docs: DataFrame, model: Net | float, text: str = "text", out: str = "s
     """docs with a column out: the probability, 0 to 1, that each whole text is of label 1.
 
     Null and empty texts get the network's score of no bytes; texts of any length are scored whole, in
-    pieces of rows of about 4 MB; equal texts get equal scores. Other columns pass through unchanged.
+    pieces of rows of about 1 MB; equal texts get equal scores. Other columns pass through unchanged.
     """
     names = [n for n in docs.columns if n != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text, 4 << 20):
+        for part in slices(batches, text, 1 << 20):
             data, at = text_bytes(part.column(names.index(text)))
             value = model.score(data, at) if isinstance(model, Net) else np.full(part.num_rows, model)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], [*names, out])
