@@ -116,13 +116,16 @@ class Net:
         g["bytes"] = np.stack([np.bincount(got["buf"], dx[:, k], 256) for k in range(self.dims)], 1)
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 9, batch_bytes: int = 400_000, rate: float = 4e-3) -> Net:
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 9, batch_bytes: int = 400_000, rate: float = 4e-3, steps: int = 250) -> Net:
+        """Adam over the examples, epochs times; few examples come in smaller batches, and more often, up to `steps` steps."""
         rng, moment, square, step = np.random.default_rng(self.seed), {}, {}, 0
+        batch = int(np.clip(len(texts) // 20, 8, 128))
+        epochs = max(epochs, -(-steps // -(-max(len(texts) * batch_bytes, sum(map(len, texts)) * batch) // (batch * batch_bytes))))
         for epoch in range(epochs):
             order, first = rng.permutation(len(texts)), 0
             while first < len(order):
                 last, size = first, 0
-                while last < len(order) and (last == first or size + len(texts[order[last]]) <= batch_bytes and last - first < 128):
+                while last < len(order) and (last == first or size + len(texts[order[last]]) <= batch_bytes and last - first < batch):
                     size += len(texts[order[last]])
                     last += 1
                 part = order[first:last]
