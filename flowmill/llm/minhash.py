@@ -189,14 +189,15 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
-    """Verified links that hold together what each bucket has in common.
+    """Pairs (a, b) of buckets' rows with their similarity, enough to know all that is linked; see across().
 
     In each round a bucket's rows are compared with its leaders: one, then 4, 16 and so on, the rows of
     smallest (in half of the bands: largest) id in as many parts of the bucket. Rows that found none go on,
     without the leaders, who have met them all, until no bucket has two. So a group of copies takes
-    one comparison a row, and rows that only fell together by chance are all compared.
+    one comparison a row, and rows that only fell together by chance are all compared. Pairs are kept down
+    to a similarity that across() needs, 2 least - 1.
     """
-    spark, out, many = buckets.sparkSession, None, 1
+    out, many = None, 1
     done = None
     while True:
         part = F.pmod(F.hash("id"), F.lit(many))
@@ -208,11 +209,12 @@ def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame | None
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         if met.isEmpty():
             return out
-        found = settle(verified(pairs, sets, least), "minhash-links")
+        found = settle(verified(pairs, sets, 2 * least - 1), "minhash-links")
         done = pairs if done is None else done.union(pairs)
         done = settle(done, "minhash-pairs")
         out = found if out is None else out.union(found)
-        linked = met.join(out.select("a", "b"), (F.least("id", "leader") == F.col("a")) & (F.greatest("id", "leader") == F.col("b")), "left_semi").select("key", "id")
+        close = out.filter(F.col("similarity") >= least).select("a", "b")
+        linked = met.join(close, (F.least("id", "leader") == F.col("a")) & (F.greatest("id", "leader") == F.col("b")), "left_semi").select("key", "id")
         gone = linked.union(leaders.select("key", F.col("leader").alias("id"))).distinct()
         rest = buckets.join(gone, ["key", "id"], "left_anti")
         still = rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
@@ -222,6 +224,25 @@ def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame | None
         many *= 4
 
 
+def across(met: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links that links() passed over, between rows whose classes are still apart.
+
+    Of two rows of a bucket that were not compared, the first to leave it did so by a link to a leader that
+    the other was compared with too. 1 - weighted Jaccard similarity is a metric: if the two are linked, their
+    distances from that leader differ by 1 - least at most, so the other is within 2 (1 - least) of it. Only
+    such rows, of another class than the leader's, are compared with the rows linked to the leader.
+    """
+    far = 1 - least + 1e-6
+    both = met.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("far"))
+    both = both.union(met.select("b", "a", 1 - F.col("similarity")))
+    close = both.filter(F.col("far") <= far).select("leader", F.col("id").alias("near"), F.col("far").alias("near_far"))
+    apart = both.filter(F.col("far") > 1 - least).join(label.select("id", F.col("label").alias("own")), "id", "left")
+    apart = apart.join(label.select(F.col("id").alias("leader"), F.col("label").alias("theirs")), "leader").filter(~F.col("theirs").eqNullSafe(F.col("own"))).select("leader", "id", "far")
+    pairs = apart.join(close, "leader").filter((F.col("far") - F.col("near_far") <= far) & (F.col("id") != F.col("near")))
+    pairs = pairs.select(F.greatest("id", "near").alias("b"), F.least("id", "near").alias("a")).distinct()
+    return verified(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"), sets, least)
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """id, label of each id in edges (a, b): the smallest id of its component.
 
@@ -240,14 +261,24 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def linked_labels(spark: SparkSession, met: DataFrame | None, sets: DataFrame, least: float) -> DataFrame | None:
+    """id, label of the rows with a link: the smallest id that links lead to; none without links."""
+    found = None if met is None else met.filter(F.col("similarity") >= least)
+    if found is None or found.isEmpty():
+        return None
+    label = components(spark, found)
+    more = settle(across(met, label, sets, least), "minhash-across")
+    return label if more.isEmpty() else components(spark, found.union(more))
+
+
 def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: key, class_id (the smallest key of its class), copy_of (that of its equal texts).
 
     Equal texts are one from the start, and only one of them takes part further. Texts of a weighted Jaccard
     similarity of `least` or more, over TF-IDF weighted shingles of five words, are linked, and linked texts
-    are a class. Every bucket of each band is worked through (links()); nothing is capped. A pair just at the
-    threshold shares no bucket in under 1 case of 1,000. Texts that reach the threshold only with each other, and
-    not with the leaders of any bucket they share, can stay apart if both found a leader.
+    are a class. Every bucket of each band is worked through (links(), across()); nothing is capped, and every
+    link between two texts that share a bucket counts. A pair just at the threshold shares no bucket in under 1
+    case of 1,000.
 
     Texts without words are linked only if equal; null texts are classes of their own; rows of a null key
     belong to their text's class, of null id if no equal or near text has a key; repeated rows each get a
@@ -263,8 +294,7 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     label = None
     if not buckets.isEmpty():
         sets = settle(weighted_sets(docs, buckets.select("id").distinct(), idf, key, text), "minhash-sets")
-        found = links(buckets, sets, least)
-        label = components(spark, found) if found is not None and not found.isEmpty() else None
+        label = linked_labels(spark, links(buckets, sets, least), sets, least)
     named = texts.select("digest", F.col("id").alias("copy_of"))
     if label is None:
         named = named.withColumn("class_id", F.col("copy_of"))

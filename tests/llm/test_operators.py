@@ -51,6 +51,47 @@ def test_minhash(docs, none):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [0, 3, 4, 5, 6, 7, 8, 9, 10, None]))
 
 
+def test_minhash_links_between_rows_of_different_leaders(spark):
+    """Chains of edits, whose ends reach the threshold only with each other, against all pairs compared."""
+    rng, texts = np.random.default_rng(5), []
+    for chain in range(40):
+        words = prose(100 + chain, 300).split()
+        for _ in range(6):
+            texts.append(" ".join(words))
+            for k in rng.choice(300, 4 + chain % 4, replace=False):
+                words[k] = f"edit{rng.integers(1 << 40)}"
+    order = rng.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    idf = minhash.bucket_weights(minhash.document_frequencies(docs, "text"))
+    sets = []
+    for t in texts:
+        _, h, n = minhash.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        sets.append((h.tobytes(), minhash.weights(h, n, idf).tobytes()))
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if order[a] // 6 == order[b] // 6 and minhash.weighted_jaccard(*sets[a], *sets[b]) >= 0.8:
+                x, y = sorted((want[a], want[b]))
+                want = [x if w == y else w for w in want]
+    assert len(set(want)) < len(texts) - 40
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == dict(enumerate(want))
+
+
+def test_across_finds_what_leaders_missed(spark):
+    """Leader 0 is linked to 1; 2 is near 1 only; 3 is further from 0 than a link of 1's could be."""
+    def row(i, members):
+        return (i, bytearray(np.array(members, np.uint64).tobytes()), bytearray(np.ones(len(members), np.float32).tobytes()))
+
+    base = list(range(100))
+    members = {0: base, 1: [*range(9, 100), *range(200, 209)], 2: [*range(18, 100), *range(200, 218)], 3: [*range(25, 100), *range(300, 325)]}
+    sets = spark.createDataFrame([row(i, sorted(m)) for i, m in members.items()], "id long, h binary, w binary")
+    met = minhash.verified(spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "a long, b long"), sets, 0.6)
+    assert {(r.a, r.b) for r in met.collect() if r.similarity >= 0.8} == {(0, 1)}
+    label = minhash.linked_labels(spark, met, sets, 0.8)
+    assert {r.id: r.label for r in label.collect()} == {0: 0, 1: 0, 2: 0}
+
+
 def test_weighted_jaccard():
     h, w = np.array([1, 2, 3], np.uint64).tobytes(), np.array([1, 2, 1], np.float32).tobytes()
     h2, w2 = np.array([2, 3, 4], np.uint64).tobytes(), np.array([1, 1, 2], np.float32).tobytes()
