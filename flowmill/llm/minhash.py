@@ -132,20 +132,22 @@ def bands(sample: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame:
-    """id, a digest of the text (null for null texts), and its band keys (none without words)."""
+    """id, a digest of the text (null for null texts), its band keys (none without words) and total weight."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small(batches, "text"):
             row, h, n = shingles(*text_bytes(part.column(2)))
-            has, sample = samples(row, h, weights(h, n, shared.value), part.num_rows)
+            w = weights(h, n, shared.value)
+            has, sample = samples(row, h, w, part.num_rows)
             size = np.zeros(part.num_rows + 1, np.int32)
             size[has + 1] = BANDS
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(bands(sample).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "digest", "bands"])
+            total = pa.array(np.bincount(row, w, minlength=part.num_rows).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, total], ["id", "digest", "bands", "total"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, digest binary, bands array<long>")
+    return rows.mapInArrow(run, "id long, digest binary, bands array<long>, total double")
 
 
 def weighted_sets(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame:
@@ -195,20 +197,21 @@ def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame | None
     smallest (in half of the bands: largest) id in as many parts of the bucket. Rows that found none go on,
     without the leaders, who have met them all, until no bucket has two. So a group of copies takes
     one comparison a row, and rows that only fell together by chance are all compared. Pairs are kept down
-    to a similarity that across() needs, 2 least - 1.
+    to a similarity that across() needs, 2 least - 1; a similarity is at most the ratio of the total weights,
+    so rows whose totals are further apart than that are passed over.
     """
     out, many = None, 1
     done = None
     while True:
         part = F.pmod(F.hash("id"), F.lit(many))
-        leaders = buckets.groupBy("key", "up", part.alias("part")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
-        leaders = leaders.select("key", F.when(F.col("up"), F.col("low")).otherwise(F.col("high")).alias("leader"))
-        met = settle(buckets.join(leaders, "key").filter("id != leader").select("key", "up", "id", "leader"), "minhash-met")
+        leaders = buckets.groupBy("key", "up", part.alias("part")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("total", "id").alias("low_total"), F.max_by("total", "id").alias("high_total"))
+        chosen = lambda low, high: F.when(F.col("up"), F.col(low)).otherwise(F.col(high))
+        leaders = leaders.select("key", chosen("low", "high").alias("leader"), chosen("low_total", "high_total").alias("leader_total"))
+        near = F.least("total", "leader_total") >= (2 * least - 1 - 1e-6) * F.greatest("total", "leader_total")
+        met = settle(buckets.join(leaders, "key").filter((F.col("id") != F.col("leader")) & near).select("key", "up", "id", "leader"), "minhash-met")
         pairs = met.select(F.greatest("id", "leader").alias("b"), F.least("id", "leader").alias("a")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        if met.isEmpty():
-            return out
         found = settle(verified(pairs, sets, 2 * least - 1), "minhash-links")
         done = pairs if done is None else done.union(pairs)
         done = settle(done, "minhash-pairs")
@@ -287,8 +290,8 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     spark = docs.sparkSession
     idf = bucket_weights(document_frequencies(docs, text))
     rows = settle(sketches(docs, idf, key, text), "minhash-sketches")
-    texts = settle(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "minhash-texts")
-    keys = texts.filter("id IS NOT NULL").select("id", F.posexplode("bands").alias("band", "key")).select("key", "id", (F.col("band") < BANDS // 2).alias("up")).distinct()
+    texts = settle(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total")), "minhash-texts")
+    keys = texts.filter("id IS NOT NULL").select("id", "total", F.posexplode("bands").alias("band", "key")).select("key", "id", "total", (F.col("band") < BANDS // 2).alias("up")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = settle(keys.join(shared, "key", "left_semi"), "minhash-buckets")
     label = None
