@@ -24,6 +24,7 @@ class Net:
     hidden: int = 16
     seed: int = 7
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    offset: float = 0.0  # added to score()'s logits: from the sample's odds to all examples'
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng(self.seed)
@@ -144,34 +145,41 @@ class Net:
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         if len(at) < 2:
             return np.zeros(0)
-        return np.round(1 / (1 + np.exp(-np.clip(self.logits(data, at).astype(np.float64), -40, 40))), 6)
+        return np.round(1 / (1 + np.exp(-np.clip(self.logits(data, at).astype(np.float64) + self.offset, -40, 40))), 6)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], allowed) -> list[tuple[str, int]]:
-    """(text, label) of at most most[label] rows of each label whose id is allowed, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], allowed) -> tuple[list[tuple[str, int]], float]:
+    """(text, label) of at most most[label] rows of each label whose id is allowed, chosen by a hash of the id;
+    and the log-odds of label 1 among all allowed rows less those in the sample, for a fitted rule to add.
 
-    Only ids and labels are ranked; the chosen ids, at most the sum of most, are broadcast to find their texts.
+    Each label is sampled at a rate of its own, its cap over its count, so the sample's odds are the true ones
+    times the ratio of the rates; with the logarithm of that taken back, scores mean the same at every size.
+    Only ids and labels are counted and ranked; the chosen ids, at most the sum of most, are broadcast to find their texts.
     Rows without id, label or text are no examples; of an id with two labels, each counts.
     """
     known = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("label")).filter(F.col("k").isNotNull() & allowed(F.col("k"))).distinct()
+    found = {r.label: r["count"] for r in known.filter(F.col("label").isin(*most)).groupBy("label").count().collect()}
+    offset = sum((1 if value else -1) * float(np.log(max(found.get(value, 0) / count, 1))) for value, count in most.items())
     chosen = None
     for value, count in most.items():
         part = known.filter(F.col("label") == value).orderBy(F.xxhash64("k"), "k").limit(count)
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.select(F.col("doc_id").alias("k"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "k")
-    return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: (r.k, r.label, r.text))]
+    return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: (r.k, r.label, r.text))], offset
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, held: int = 0, most_good: int = 2500, most_bad: int = 1500) -> Net | float:
-    """A network fitted on a bounded sample of the labelled rows outside the held-out fold.
+    """A network fitted on a bounded sample of the labelled rows outside the held-out fold, its odds set back to those of all these rows.
 
     With examples of one label only, or none, the result is a constant score: the share of label 1, or 0.5.
     """
-    sample = labelled_sample(docs, labels, label, {1: most_good, 0: most_bad}, lambda k: fold(k, parts) != held)
+    sample, offset = labelled_sample(docs, labels, label, {1: most_good, 0: most_bad}, lambda k: fold(k, parts) != held)
     y = np.array([b for _, b in sample], np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    return Net().fit([a.encode() for a, _ in sample], y)
+    net = Net().fit([a.encode() for a, _ in sample], y)
+    net.offset = offset
+    return net
 
 
 def score(docs: DataFrame, model: Net | float, text: str = "text", out: str = "score") -> DataFrame:

@@ -82,6 +82,7 @@ class Model:
     shared: list[Counts]
     weights: np.ndarray
     scale: tuple[np.ndarray, np.ndarray]
+    offset: float = 0.0  # from the sample's log-odds to all examples'
 
     def differences(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Each row's features: mean log-likelihood difference a byte, its largest over words, and so on."""
@@ -122,7 +123,7 @@ class Model:
         return np.concatenate([x, x[:, 1:3] ** 2, x[:, 1:2] * x[:, 4:5], np.ones((len(x), 1))], 1)
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z = self.inputs(self.differences(data, at)) @ self.weights
+        z = self.inputs(self.differences(data, at)) @ self.weights + self.offset
         return np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 6)
 
 
@@ -170,15 +171,17 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, most_toxic: int = 3000, most_ordinary: int = 5000) -> Model | float:
-    """Models fitted on a bounded sample of the labelled rows outside the held-out fold.
+    """Models fitted on a bounded sample of the labelled rows outside the held-out fold, their odds set back to those of all these rows.
 
     With examples of one label only, or none, the result is a constant score: the share of label 1, or 0.
     """
-    sample = labelled_sample(docs, labels, label, {1: most_toxic, 0: most_ordinary}, lambda k: fold(k, parts) != held)
+    sample, offset = labelled_sample(docs, labels, label, {1: most_toxic, 0: most_ordinary}, lambda k: fold(k, parts) != held)
     y = np.array([b for _, b in sample])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.0
-    return fit([a for a, _ in sample], y)
+    model = fit([a for a, _ in sample], y)
+    model.offset = offset
+    return model
 
 
 def score(docs: DataFrame, model: Model | float, text: str = "text", out: str = "score") -> DataFrame:

@@ -151,6 +151,17 @@ def test_classifiers_learn():
     assert got[:10].max() < 0.5 < got[10:].min()
 
 
+def test_capped_samples_keep_the_odds(spark):
+    docs = spark.createDataFrame([(k, "the same words in every text") for k in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 != 0), int(k % 10 == 0)) for k in range(1000)], "doc_id long, quality int, toxic int")
+    first = docs.limit(1)
+    for good, bad in ((1000, 1000), (100, 100), (40, 60)):  # no cap binds, one, both
+        value = quality.score(first, quality.train(docs, labels, most_good=good, most_bad=bad)).first().score
+        assert abs(value - 0.9) < 0.04, (good, bad, value)
+        value = toxicity.score(first, toxicity.train(docs, labels, most_toxic=bad, most_ordinary=good)).first().score
+        assert abs(value - 0.1) < 0.04, (good, bad, value)
+
+
 def test_network_gradient():
     net = quality.Net(dims=3, filters=4, hidden=3)
     data, at = toxicity.joined([prose(4, 300), "short"])
