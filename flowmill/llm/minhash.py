@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, settle, slices, text_bytes, token_hashes, tokens
@@ -131,6 +131,10 @@ def bands(sample: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def digest(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def sketches(docs: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame:
     """id, a digest of the text (null for null texts), its band keys (none without words) and total weight."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
@@ -146,16 +150,17 @@ def sketches(docs: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame
             total = pa.array(np.bincount(row, w, minlength=part.num_rows).astype(np.float64))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, total], ["id", "digest", "bands", "total"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("digest"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, digest binary, bands array<long>, total double")
 
 
 def weighted_sets(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame:
-    """The wanted documents' shingles and weights, as bytes."""
+    """The wanted texts' shingles and weights, as bytes. wanted: id, the text's number, with its digest and smallest key."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+    rows = docs.select(F.col(key).cast("long").alias("own"), digest(text).alias("own_digest"), F.col(text).alias("text"))
+    rows = rows.join(wanted, F.col("own").eqNullSafe(F.col("key")) & (F.col("own_digest") == F.col("digest"))).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small(batches, "text"):
@@ -287,36 +292,50 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     belong to their text's class, of null id if no equal or near text has a key; repeated rows each get a
     row; an empty table gives none; other columns are ignored.
     """
+    rows, named = named_texts(docs, least, key, text)
+    known = rows.filter("digest IS NOT NULL").select("id", "digest").join(named, "digest").select("id", "class_id", "copy_of")
+    null = rows.filter("digest IS NULL").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"))
+    return known.union(null).select(F.col("id").alias(key), "class_id", "copy_of")
+
+
+def named_texts(docs: DataFrame, least: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' sketches; and each distinct text's digest, copy_of, class_id and class, a number.
+
+    What is linked is texts, by a number of each, not keys: a text may have no key, and a key several texts.
+    The numbers are in the order of the keys, so a group's leaders are as if chosen by key.
+    """
     spark = docs.sparkSession
     idf = bucket_weights(document_frequencies(docs, text))
     rows = settle(sketches(docs, idf, key, text), "minhash-sketches")
-    texts = settle(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total")), "minhash-texts")
-    keys = texts.filter("id IS NOT NULL").select("id", "total", F.posexplode("bands").alias("band", "key")).select("key", "id", "total", (F.col("band") < BANDS // 2).alias("up")).distinct()
+    texts = settle(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total")).orderBy("id", "digest").withColumn("node", F.monotonically_increasing_id()), "minhash-texts")
+    keys = texts.select(F.col("node").alias("id"), "total", F.posexplode("bands").alias("band", "key")).select("key", "id", "total", (F.col("band") < BANDS // 2).alias("up")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = settle(keys.join(shared, "key", "left_semi"), "minhash-buckets")
     label = None
     if not buckets.isEmpty():
-        sets = settle(weighted_sets(docs, buckets.select("id").distinct(), idf, key, text), "minhash-sets")
+        wanted = texts.select(F.col("node").alias("id"), "digest", F.col("id").alias("key")).join(buckets.select("id").distinct(), "id", "left_semi")
+        sets = settle(weighted_sets(docs, wanted, idf, key, text), "minhash-sets")
         label = linked_labels(spark, links(buckets, sets, least), sets, least)
-    named = texts.select("digest", F.col("id").alias("copy_of"))
+    named = texts.select("digest", F.col("id").alias("copy_of"), "node")
     if label is None:
-        named = named.withColumn("class_id", F.col("copy_of"))
-    else:
-        named = named.join(label.withColumnRenamed("id", "copy_of"), "copy_of", "left").select("digest", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
-    known = rows.filter("digest IS NOT NULL").select("id", "digest").join(named, "digest").select("id", "class_id", "copy_of")
-    null = rows.filter("digest IS NULL").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"))
-    return known.union(null).select(F.col("id").alias(key), "class_id", "copy_of")
+        return rows, named.select("digest", "copy_of", F.col("copy_of").alias("class_id"), F.col("node").alias("class"))
+    label = label.withColumnRenamed("id", "node")
+    smallest = label.join(named, "node").groupBy("label").agg(F.min("copy_of").alias("smallest"))
+    named = named.join(label.join(smallest, "label"), "node", "left")
+    return rows, named.select("digest", "copy_of", F.coalesce("smallest", "copy_of").alias("class_id"), F.coalesce("label", "node").alias("class"))
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each near-duplicate class, with all its columns: the one of the smallest key.
 
-    Of repeated rows of that document, one stays. Rows of a null key or null text have no class to
+    Of repeated rows of that document, one stays, and of several texts of that key in the class, one. Rows of a null key or null text have no class to
     stand for and stay, unless a row with a key has an equal or near text.
     """
-    found = classes(docs, least, key, text)
-    chosen = found.filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("__id")).distinct()
-    again = Window.partitionBy("__id", "__text").orderBy("__text")
-    known = docs.filter(F.col(key).isNotNull()).withColumn("__id", F.col(key).cast("long")).join(chosen, "__id")
-    known = known.withColumn("__text", F.xxhash64(text)).withColumn("__nth", F.row_number().over(again)).filter("__nth = 1").select(docs.columns)
-    return known.unionByName(docs.filter(F.col(key).isNull()))
+    _, named = named_texts(docs, least, key, text)
+    first = named.filter("copy_of = class_id").groupBy("class").agg(F.min("digest").alias("digest"), F.first("class_id").alias("id"))
+    again = Window.partitionBy("__id", "__digest").orderBy("__digest")
+    rows = docs.withColumn("__id", F.col(key).cast("long")).withColumn("__digest", digest(text))
+    keyed = rows.filter("__id IS NOT NULL AND __digest IS NOT NULL").join(first.select(F.col("id").alias("__id"), F.col("digest").alias("__digest")), ["__id", "__digest"])
+    keyed = keyed.unionByName(rows.filter("__id IS NOT NULL AND __digest IS NULL")).withColumn("__nth", F.row_number().over(again)).filter("__nth = 1")
+    other = rows.filter("__id IS NULL").join(named.filter("class_id IS NOT NULL").select(F.col("digest").alias("__digest")), "__digest", "left_anti")
+    return keyed.select(docs.columns).unionByName(other.select(docs.columns))

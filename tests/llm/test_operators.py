@@ -51,6 +51,16 @@ def test_minhash(docs, none):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [0, 3, 4, 5, 6, 7, 8, 9, 10, None]))
 
 
+def test_minhash_of_texts_without_a_key_or_with_another_texts(spark):
+    a, b, c = prose(41, 300), prose(42, 300), prose(43, 300)
+    rows = [(1, a), (None, a), (None, a + " end"), (2, b), (9, b + " end"), (9, c), (3, c + " end"), (9, c), (None, "alone without a key"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((str(r.doc_id), str(r.class_id)) for r in minhash.classes(docs).collect()))
+    assert got == sorted([("1", "1"), ("None", "1"), ("None", "1"), ("2", "2"), ("9", "2"), ("9", "3"), ("3", "3"), ("9", "3"), ("None", "None"), ("4", "4")])
+    kept = sorted(((str(r.doc_id), str(r.text)) for r in minhash.one_of_each(docs).collect()))
+    assert kept == sorted([("1", a), ("2", b), ("3", c + " end"), ("None", "alone without a key"), ("4", "None")])
+
+
 def test_minhash_links_between_rows_of_different_leaders(spark):
     """Chains of edits, whose ends reach the threshold only with each other, against all pairs compared."""
     rng, texts = np.random.default_rng(5), []
