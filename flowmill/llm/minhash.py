@@ -6,16 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, settle, slices, text_bytes, token_hashes, tokens
+from .common import field, free_names, mix, release, settle, slices, text_bytes, token_hashes, tokens
 
 WORDS = 5
 BUCKETS = 1 << 20  # of shingle counts: 8 MB, however large the corpus
 BLOCK = 4096
 BANDS, ROWS = 10, 3
-FEW = 1_000_000  # ids that may be broadcast: 8 MB
+FEW = 200_000  # texts that may be broadcast, by number, key and digest: some 15 MB
+CROWD = 16  # rows of a bucket that are compared with each other without more ado
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -67,20 +69,22 @@ def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
         return pa.table([group.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
     out = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(count, "block int, counts binary")
+    sent = docs.select(field(text).alias("text")).mapInArrow(count, "block int, counts binary")
     for r in sent.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
         out[r.block] = np.frombuffer(r.counts, np.int64)
     return out.reshape(-1)
 
 
-def bucket_weights(frequency: np.ndarray) -> np.ndarray:
-    """IDF of each bucket, from 1 (in all documents) to 1.5 (a millionth of all incidences, or fewer).
+def bucket_weights(frequency: np.ndarray, documents: int) -> np.ndarray:
+    """IDF of each bucket, damped: the root of 1 + ln(1 / share of the documents), from 1 to 3.5.
 
-    The scale is of shares, so a shingle as common in a corpus of any size weighs the same. The range is
-    narrow, so copies with shared, hence commoner, shingles and rare edits keep about their plain similarity.
+    Most of a bucket's count is of rare shingles that fell there by chance, so the median bucket's count is
+    taken off; what is left is that of a frequent shingle, if there is one. The share has a floor of 2**-16:
+    shingles rarer than that weigh the same, so weights mean the same in corpora of any size. The root keeps
+    copies in a large group, whose shared shingles are common and whose edits are rare, near one another.
     """
-    share = np.maximum(frequency / max(1, frequency.sum()), 2.0**-20)
-    return (1 - np.log2(share) / 40).astype(np.float32)
+    share = (frequency - np.median(frequency)) / max(1, documents)
+    return np.sqrt(1 - np.log(np.clip(share, 2.0**-16, 1))).astype(np.float32)
 
 
 def weights(h: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -132,17 +136,16 @@ def bands(sample: np.ndarray) -> np.ndarray:
 
 
 def digest(text: str) -> Column:
-    return F.unhex(F.md5(F.col(text).cast("binary")))
+    return F.unhex(F.md5(field(text).cast("binary")))
 
 
-def sketches(docs: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame:
+def sketches(docs: DataFrame, idf: Broadcast, key: str, text: str) -> DataFrame:
     """id, a digest of the text (null for null texts), its band keys (none without words) and total weight."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small(batches, "text"):
             row, h, n = shingles(*text_bytes(part.column(2)))
-            w = weights(h, n, shared.value)
+            w = weights(h, n, idf.value)
             has, sample = samples(row, h, w, part.num_rows)
             size = np.zeros(part.num_rows + 1, np.int32)
             size[has + 1] = BANDS
@@ -150,31 +153,41 @@ def sketches(docs: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame
             total = pa.array(np.bincount(row, w, minlength=part.num_rows).astype(np.float64))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, total], ["id", "digest", "bands", "total"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("digest"), F.col(text).alias("text"))
+    rows = docs.select(field(key).cast("long").alias("id"), digest(text).alias("digest"), field(text).alias("text"))
     return rows.mapInArrow(run, "id long, digest binary, bands array<long>, total double")
 
 
-def weighted_sets(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame:
-    """The wanted texts' shingles and weights, as bytes. wanted: id, the text's number, with its digest and smallest key."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+def packed(h: np.ndarray) -> bytes:
+    """48-bit numbers in six bytes each."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """The wanted texts' shingles and their counts, as bytes. wanted: id, the text's number, with its digest and smallest key."""
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(key).cast("long").alias("own"), digest(text).alias("own_digest"), F.col(text).alias("text"))
+    rows = docs.select(field(key).cast("long").alias("own"), digest(text).alias("own_digest"), field(text).alias("text"))
     rows = rows.join(wanted, F.col("own").eqNullSafe(F.col("key")) & (F.col("own_digest") == F.col("digest"))).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small(batches, "text"):
             row, h, n = shingles(*text_bytes(part.column(1)))
-            w = weights(h, n, shared.value)
+            n = n.astype(np.uint32)
             cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-            both = [(h[a:b].tobytes(), w[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["id", "h", "w"])
+            both = [(packed(h[a:b]), n[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["id", "h", "n"])
 
-    return rows.mapInArrow(run, "id long, h binary, w binary").dropDuplicates(["id"])
+    return rows.mapInArrow(run, "id long, h binary, n binary").dropDuplicates(["id"])
 
 
-def weighted_jaccard(h: bytes, w: bytes, h2: bytes, w2: bytes) -> float:
-    a, b, x, y = np.frombuffer(h, np.uint64), np.frombuffer(h2, np.uint64), np.frombuffer(w, np.float32), np.frombuffer(w2, np.float32)
+def weighted_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Of shingles a of weights x with b of y; both in order."""
     at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
     both = b[at] == a if len(b) else np.zeros(len(a), bool)
     least = float(np.minimum(x[both], y[at[both]]).sum(dtype=np.float64))
@@ -182,80 +195,85 @@ def weighted_jaccard(h: bytes, w: bytes, h2: bytes, w2: bytes) -> float:
     return least / whole if whole else 0.0
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) with their similarity; a stands in many pairs, b's set travels to a's."""
-    member = sets.select(F.col("id").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2"))
-    both = pairs.join(member, "b").join(sets.withColumnRenamed("id", "a"), "a").select("a", "b", "h", "w", "h2", "w2")
+def verified(pairs: DataFrame, sets: DataFrame, idf: Broadcast, least: float) -> DataFrame:
+    """The pairs (a, b) of a similarity of at least `least`; a may stand in many pairs, b's set travels to a's."""
+    member = sets.select(F.col("id").alias("b"), F.col("h").alias("h2"), F.col("n").alias("n2"))
+    both = pairs.join(member, "b").join(sets.withColumnRenamed("id", "a"), "a").select("a", "b", "h", "n", "h2", "n2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(part: pa.RecordBatch, k: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+            h = unpacked(part.column(c)[k].as_py())
+            return h, weights(h, np.frombuffer(part.column(c + 1)[k].as_py(), np.uint32), idf.value)
+
         for part in slices(batches, "h2", 4 << 20):
-            value = [weighted_jaccard(*(part.column(c)[k].as_py() for c in range(2, 6))) for k in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(value, pa.float64())], ["a", "b", "similarity"]).filter(pa.array([v >= least for v in value], pa.bool_()))
+            value = np.array([weighted_jaccard(*read(part, k, 2), *read(part, k, 4)) for k in range(part.num_rows)])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(value >= least, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.mapInArrow(run, "a long, b long")
 
 
-def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
-    """Pairs (a, b) of buckets' rows with their similarity, enough to know all that is linked; see across().
+def common_weight(rows: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
+    """rows (id, total) with common: the weight of a row's shingles that another of the rows has too."""
 
-    In each round a bucket's rows are compared with its leaders: one, then 4, 16 and so on, the rows of
-    smallest (in half of the bands: largest) id in as many parts of the bucket. Rows that found none go on,
-    without the leaders, who have met them all, until no bucket has two. So a group of copies takes
-    one comparison a row, and rows that only fell together by chance are all compared. Pairs are kept down
-    to a similarity that across() needs, 2 least - 1; a similarity is at most the ratio of the total weights,
-    so rows whose totals are further apart than that are passed over.
-    """
-    out, many = None, 1
-    done = None
-    while True:
-        part = F.pmod(F.hash("id"), F.lit(many))
-        leaders = buckets.groupBy("key", "up", part.alias("part")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("total", "id").alias("low_total"), F.max_by("total", "id").alias("high_total"))
-        chosen = lambda low, high: F.when(F.col("up"), F.col(low)).otherwise(F.col(high))
-        leaders = leaders.select("key", chosen("low", "high").alias("leader"), chosen("low_total", "high_total").alias("leader_total"))
-        near = F.least("total", "leader_total") >= (2 * least - 1 - 1e-6) * F.greatest("total", "leader_total")
-        met = settle(buckets.join(leaders, "key").filter((F.col("id") != F.col("leader")) & near).select("key", "up", "id", "leader"), "minhash-met")
-        pairs = met.select(F.greatest("id", "leader").alias("b"), F.least("id", "leader").alias("a")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        found = settle(verified(pairs, sets, 2 * least - 1), "minhash-links")
-        done = pairs if done is None else done.union(pairs)
-        done = settle(done, "minhash-pairs")
-        out = found if out is None else out.union(found)
-        close = out.filter(F.col("similarity") >= least).select("a", "b")
-        linked = met.join(close, (F.least("id", "leader") == F.col("a")) & (F.greatest("id", "leader") == F.col("b")), "left_semi").select("key", "id")
-        gone = linked.union(leaders.select("key", F.col("leader").alias("id"))).distinct()
-        rest = buckets.join(gone, ["key", "id"], "left_anti")
-        still = rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        buckets = settle(rest.join(still, "key", "left_semi"), "minhash-rest")
-        if buckets.isEmpty():
-            return out
-        many *= 4
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "h", 2 << 20):
+            h = [unpacked(x.as_py()) for x in part.column(1)]
+            size = np.array([len(x) for x in h])
+            flat = np.concatenate(h)
+            w = weights(flat, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in part.column(2)]), idf.value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), size)), pa.array(flat.view(np.int64)), pa.array(w)], ["id", "h", "w"])
+
+    each = sets.join(rows.select("id"), "id", "left_semi").select("id", "h", "n").mapInArrow(spread, "id long, h long, w float")
+    alone = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("w").alias("w")).filter("id = last")
+    own = alone.groupBy("id").agg(F.sum("w").alias("own"))
+    return rows.join(own, "id", "left").select("id", "total", (F.col("total") - F.coalesce("own", F.lit(0.0))).alias("common"))
+
+
+def may_link(least: float, a: str, b: str) -> Column:
+    """Whether rows of such totals and common weights can be linked: they share at most the smaller common weight."""
+    shared = F.least(F.col(f"{a}.common"), F.col(f"{b}.common"))
+    return shared >= (least / (1 + least) - 1e-6) * (F.col(f"{a}.total") + F.col(f"{b}.total"))
 
 
-def across(met: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links that links() passed over, between rows whose classes are still apart.
+def linked(buckets: DataFrame, sets: DataFrame, idf: Broadcast, least: float) -> DataFrame:
+    """id, label of the rows with a link, by all links between rows that share a bucket.
 
-    Of two rows of a bucket that were not compared, the first to leave it did so by a link to a leader that
-    the other was compared with too. 1 - weighted Jaccard similarity is a metric: if the two are linked, their
-    distances from that leader differ by 1 - least at most, so the other is within 2 (1 - least) of it. Only
-    such rows, of another class than the leader's, are compared with the rows linked to the leader.
+    Rows of a bucket of up to CROWD are compared with each other. In a larger one, the shingles that only
+    one row of all such buckets has can't be shared, so the rest of its weight bounds its similarity to every
+    other row there, and rows or pairs whose bound is below `least` need no comparison: rows that only have
+    a common passage, or copies with many edits of their own. The others are first compared with the bucket's
+    leader, which has the largest part of its weight in common; then, with its links followed, the rows
+    that are not of the leader's class with all of other classes than their own.
     """
-    far = 1 - least + 1e-6
-    both = met.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("far"))
-    both = both.union(met.select("b", "a", 1 - F.col("similarity")))
-    close = both.filter(F.col("far") <= far).select("leader", F.col("id").alias("near"), F.col("far").alias("near_far"))
-    apart = both.filter(F.col("far") > 1 - least).join(label.select("id", F.col("label").alias("own")), "id", "left")
-    apart = apart.join(label.select(F.col("id").alias("leader"), F.col("label").alias("theirs")), "leader").filter(~F.col("theirs").eqNullSafe(F.col("own"))).select("leader", "id", "far")
-    pairs = apart.join(close, "leader").filter((F.col("far") - F.col("near_far") <= far) & (F.col("id") != F.col("near")))
-    pairs = pairs.select(F.greatest("id", "near").alias("b"), F.least("id", "near").alias("a")).distinct()
-    return verified(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"), sets, least)
-
-
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    few, crowded = buckets.filter(F.col("n") <= CROWD), buckets.filter(F.col("n") > CROWD)
+    near = F.least("x.total", "y.total") >= (least - 1e-6) * F.greatest("x.total", "y.total")
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    bounded = common_weight(crowded.select("id", "total").distinct(), sets, idf).filter(F.col("common") >= (least - 1e-6) * F.col("total"))
+    crowd = settle(crowded.select("key", "id").join(bounded, "id").select("key", "id", "total", "common"), "minhash-crowd")
+    first = F.max(F.struct((F.col("common") / F.col("total")).alias("share"), (-F.col("id")).alias("back"), "total", "common"))
+    leaders = settle(crowd.groupBy("key").agg(first.alias("first")).select("key", (-F.col("first.back")).alias("id"), "first.total", "first.common"), "minhash-leaders")
+    led = crowd.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & may_link(least, "x", "y"))
+    pairs = settle(pairs.union(led.select(F.least("x.id", "y.id"), F.greatest("x.id", "y.id"))).distinct(), "minhash-pairs")
+    links = settle(verified(pairs, sets, idf, least), "minhash-links")
+    label = components(links)
+    rows = crowd.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    main = leaders.join(label, "id", "left").select("key", F.coalesce("label", "id").alias("main"))
+    apart = rows.join(main, "key").filter("label != main")
+    more = apart.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & may_link(least, "x", "y"))
+    more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    found = settle(verified(more, sets, idf, least), "minhash-more")
+    if not found.isEmpty():
+        old, label = label, components(links.union(found))
+        release(old)
+    release(crowd, leaders, pairs, links, found)
+    return label
+
+
+def components(edges: DataFrame) -> DataFrame:
     """id, label of each id in edges (a, b): the smallest id of its component.
 
     Each round takes the least label among neighbours and then that label's label, so the rounds grow as
-    the logarithm of a component's width; labels are written each round.
+    the logarithm of a component's width; labels are written each round, and the last round's go.
     """
     both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "minhash-edges")
     labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), "minhash-labels")
@@ -264,19 +282,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         closer = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = settle(closer.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "minhash-labels")
-        labels = new.select("id", "label")
+        release(labels)
+        labels = new
         if new.filter("label != old").isEmpty():
-            return labels
-
-
-def linked_labels(spark: SparkSession, met: DataFrame | None, sets: DataFrame, least: float) -> DataFrame | None:
-    """id, label of the rows with a link: the smallest id that links lead to; none without links."""
-    found = None if met is None else met.filter(F.col("similarity") >= least)
-    if found is None or found.isEmpty():
-        return None
-    label = components(spark, found)
-    more = settle(across(met, label, sets, least), "minhash-across")
-    return label if more.isEmpty() else components(spark, found.union(more))
+            release(both)
+            out = new.select("id", "label")
+            out.settled_at = new.settled_at
+            return out
 
 
 def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,8 +296,8 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
 
     Equal texts are one from the start, and only one of them takes part further. Texts of a weighted Jaccard
     similarity of `least` or more, over TF-IDF weighted shingles of five words, are linked, and linked texts
-    are a class. Every bucket of each band is worked through (links(), across()); nothing is capped, and every
-    link between two texts that share a bucket counts. A pair just at the threshold shares no bucket in under 1
+    are a class. Every bucket of each band is worked through (linked()); nothing is capped, and every link between
+    two texts that share a bucket counts. A pair just at the threshold shares no bucket in under 1
     case of 1,000.
 
     Texts without words are linked only if equal; null texts are classes of their own; rows of a null key
@@ -302,24 +314,20 @@ def named_texts(docs: DataFrame, least: float, key: str, text: str) -> tuple[Dat
     """The documents' sketches; and each distinct text's digest, copy_of, class_id and class, a number.
 
     What is linked is texts, by a number of each, not keys: a text may have no key, and a key several texts.
-    The numbers are in the order of the keys, so a group's leaders are as if chosen by key.
     """
     spark = docs.sparkSession
-    idf = bucket_weights(document_frequencies(docs, text))
+    frequency = document_frequencies(docs, text)
+    idf = spark.sparkContext.broadcast(bucket_weights(frequency, docs.count()))
     rows = settle(sketches(docs, idf, key, text), "minhash-sketches")
-    texts = settle(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total")).orderBy("id", "digest").withColumn("node", F.monotonically_increasing_id()), "minhash-texts")
-    keys = texts.select(F.col("node").alias("id"), "total", F.posexplode("bands").alias("band", "key")).select("key", "id", "total", (F.col("band") < BANDS // 2).alias("up")).distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    buckets = settle(keys.join(shared, "key", "left_semi"), "minhash-buckets")
-    label = None
-    if not buckets.isEmpty():
-        wanted = texts.select(F.col("node").alias("id"), "digest", F.col("id").alias("key")).join(buckets.select("id").distinct(), "id", "left_semi")
-        sets = settle(weighted_sets(docs, wanted, idf, key, text), "minhash-sets")
-        label = linked_labels(spark, links(buckets, sets, least), sets, least)
+    texts = settle(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total")).withColumn("node", F.monotonically_increasing_id()), "minhash-texts")
+    keys = texts.select(F.col("node").alias("id"), "total", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = settle(keys.join(shared, "key"), "minhash-buckets")
+    wanted = texts.select(F.col("node").alias("id"), "digest", F.col("id").alias("key")).join(buckets.select("id").distinct(), "id", "left_semi")
+    sets = settle(shingle_sets(docs, wanted, key, text), "minhash-sets")
+    label = linked(buckets, sets, idf, least).withColumnRenamed("id", "node")
+    release(buckets, sets)
     named = texts.select("digest", F.col("id").alias("copy_of"), "node")
-    if label is None:
-        return rows, named.select("digest", "copy_of", F.col("copy_of").alias("class_id"), F.col("node").alias("class"))
-    label = label.withColumnRenamed("id", "node")
     smallest = label.join(named, "node").groupBy("label").agg(F.min("copy_of").alias("smallest"))
     named = named.join(label.join(smallest, "label"), "node", "left")
     return rows, named.select("digest", "copy_of", F.coalesce("smallest", "copy_of").alias("class_id"), F.coalesce("label", "node").alias("class"))
@@ -328,14 +336,21 @@ def named_texts(docs: DataFrame, least: float, key: str, text: str) -> tuple[Dat
 def one_of_each(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each near-duplicate class, with all its columns: the one of the smallest key.
 
-    Of repeated rows of that document, one stays, and of several texts of that key in the class, one. Rows of a null key or null text have no class to
-    stand for and stay, unless a row with a key has an equal or near text.
+    Of repeated rows of that document, one stays, and of several texts of that key in the class, one. Rows
+    of a null key or null text have no class to stand for and stay, unless a row with a key has an equal or
+    near text. Further columns stay as they are, whatever their names.
     """
     _, named = named_texts(docs, least, key, text)
-    first = named.filter("copy_of = class_id").groupBy("class").agg(F.min("digest").alias("digest"), F.first("class_id").alias("id"))
-    again = Window.partitionBy("__id", "__digest").orderBy("__digest")
-    rows = docs.withColumn("__id", F.col(key).cast("long")).withColumn("__digest", digest(text))
-    keyed = rows.filter("__id IS NOT NULL AND __digest IS NOT NULL").join(first.select(F.col("id").alias("__id"), F.col("digest").alias("__digest")), ["__id", "__digest"])
-    keyed = keyed.unionByName(rows.filter("__id IS NOT NULL AND __digest IS NULL")).withColumn("__nth", F.row_number().over(again)).filter("__nth = 1")
-    other = rows.filter("__id IS NULL").join(named.filter("class_id IS NOT NULL").select(F.col("digest").alias("__digest")), "__digest", "left_anti")
-    return keyed.select(docs.columns).unionByName(other.select(docs.columns))
+    own, its = free_names(docs, "id", "digest")
+    first = named.filter("copy_of = class_id").groupBy("class").agg(F.min("digest").alias(its), F.first("class_id").alias(own))
+    rows = docs.withColumn(own, field(key).cast("long")).withColumn(its, digest(text))
+    keyed = rows.filter(F.col(own).isNotNull() & F.col(its).isNotNull()).join(first.select(own, its), [own, its])
+    keyed = keyed.unionByName(rows.filter(F.col(own).isNotNull() & F.col(its).isNull()))
+    known = named.filter("class_id IS NOT NULL").select(F.col("digest").alias(its))
+    other = rows.filter(F.col(own).isNull()).join(known, its, "left_anti")
+    return one_row(keyed, own, its).drop(own, its).unionByName(other.drop(own, its))
+
+
+def one_row(rows: DataFrame, *by: str) -> DataFrame:
+    """One of the rows of each value of `by`, whole."""
+    return rows.groupBy(*by).agg(F.first(F.struct(*(field(c) for c in rows.columns))).alias("row")).select("row.*")

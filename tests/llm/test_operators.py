@@ -61,6 +61,22 @@ def test_minhash_of_texts_without_a_key_or_with_another_texts(spark):
     assert kept == sorted([("1", a), ("2", b), ("3", c + " end"), ("None", "alone without a key"), ("4", "None")])
 
 
+def all_pairs_classes(spark, docs, texts, near):
+    """Classes by comparing all pairs that near(a, b) allows."""
+    idf = minhash.bucket_weights(minhash.document_frequencies(docs, "text"), len(texts))
+    sets = []
+    for t in texts:
+        _, h, n = minhash.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        sets.append((h, minhash.weights(h, n, idf)))
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if near(a, b) and minhash.weighted_jaccard(*sets[a], *sets[b]) >= 0.8:
+                x, y = sorted((want[a], want[b]))
+                want = [x if w == y else w for w in want]
+    return dict(enumerate(want))
+
+
 def test_minhash_links_between_rows_of_different_leaders(spark):
     """Chains of edits, whose ends reach the threshold only with each other, against all pairs compared."""
     rng, texts = np.random.default_rng(5), []
@@ -73,39 +89,54 @@ def test_minhash_links_between_rows_of_different_leaders(spark):
     order = rng.permutation(len(texts))
     texts = [texts[k] for k in order]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    idf = minhash.bucket_weights(minhash.document_frequencies(docs, "text"))
-    sets = []
-    for t in texts:
-        _, h, n = minhash.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
-        sets.append((h.tobytes(), minhash.weights(h, n, idf).tobytes()))
-    want = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            if order[a] // 6 == order[b] // 6 and minhash.weighted_jaccard(*sets[a], *sets[b]) >= 0.8:
-                x, y = sorted((want[a], want[b]))
-                want = [x if w == y else w for w in want]
-    assert len(set(want)) < len(texts) - 40
-    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == dict(enumerate(want))
+    want = all_pairs_classes(spark, docs, texts, lambda a, b: order[a] // 6 == order[b] // 6)
+    assert len(set(want.values())) < len(texts) - 40
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == want
+
+
+def test_minhash_in_crowded_buckets(spark):
+    """A passage in many texts, and a large group of copies with one to six edits, against all pairs compared."""
+    rng, texts = np.random.default_rng(6), []
+    passage, base = prose(300, 100), prose(301, 200).split()
+    for k in range(150):
+        texts.append(f"{passage} {prose(400 + k, 60)}")
+    for k in range(150):
+        words = list(base)
+        for at in rng.choice(200, 1 + k % 6, replace=False):
+            words[at] = f"edit{rng.integers(1 << 40)}" if k % 5 else f"shared{at}"
+        texts.append(" ".join(words))
+    order = rng.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = all_pairs_classes(spark, docs, texts, lambda a, b: min(order[a], order[b]) >= 150)
+    assert 150 + 10 < len(set(want.values())) < 300 - 30
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == want
 
 
-def test_across_finds_what_leaders_missed(spark):
-    """Leader 0 is linked to 1; 2 is near 1 only; 3 is further from 0 than a link of 1's could be."""
-    def row(i, members):
-        return (i, bytearray(np.array(members, np.uint64).tobytes()), bytearray(np.ones(len(members), np.float32).tobytes()))
+def test_links_beyond_the_leader_are_found(spark):
+    """In one crowded bucket 0 leads and is linked to 1; 2 is near 1 only; 3 near none; the others have nothing in common."""
+    members = {0: range(100), 1: [*range(9, 100), *range(200, 209)], 2: [*range(18, 100), *range(200, 218)], 3: [*range(40, 100), *range(300, 340)]}
+    members |= {k: range(1000 * k, 1000 * k + 100) for k in range(4, 40)}
+    sets = [(k, bytearray(minhash.packed(np.array(sorted(m), np.uint64))), bytearray(np.ones(len(m), np.uint32).tobytes())) for k, m in members.items()]
+    sets = spark.createDataFrame(sets, "id long, h binary, n binary")
+    buckets = spark.createDataFrame([(7, k, 100.0, 40) for k in members], "key long, id long, total double, n long")
+    idf = spark.sparkContext.broadcast(np.ones(minhash.BUCKETS, np.float32))
+    assert {r.id: r.label for r in minhash.linked(buckets, sets, idf, 0.8).collect()} == {0: 0, 1: 0, 2: 0}
 
-    base = list(range(100))
-    members = {0: base, 1: [*range(9, 100), *range(200, 209)], 2: [*range(18, 100), *range(200, 218)], 3: [*range(25, 100), *range(300, 325)]}
-    sets = spark.createDataFrame([row(i, sorted(m)) for i, m in members.items()], "id long, h binary, w binary")
-    met = minhash.verified(spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "a long, b long"), sets, 0.6)
-    assert {(r.a, r.b) for r in met.collect() if r.similarity >= 0.8} == {(0, 1)}
-    label = minhash.linked_labels(spark, met, sets, 0.8)
-    assert {r.id: r.label for r in label.collect()} == {0: 0, 1: 0, 2: 0}
+
+def test_idf_means_the_same_beside_many_rare_shingles():
+    """A passage in a tenth of the documents weighs the same whether each bucket holds 2 or 5,000 rare shingles."""
+    rng = np.random.default_rng(0)
+    for documents, rare in ((10_000, 2), (10_000_000, 5_000)):
+        frequency = rng.poisson(rare, minhash.BUCKETS)
+        frequency[5] += documents // 10
+        w = minhash.bucket_weights(frequency, documents)
+        assert w[5] == pytest.approx((1 + np.log(10)) ** 0.5, rel=0.01) and np.median(w) == pytest.approx((1 + 16 * np.log(2)) ** 0.5, rel=0.01)
 
 
 def test_weighted_jaccard():
-    h, w = np.array([1, 2, 3], np.uint64).tobytes(), np.array([1, 2, 1], np.float32).tobytes()
-    h2, w2 = np.array([2, 3, 4], np.uint64).tobytes(), np.array([1, 1, 2], np.float32).tobytes()
-    assert minhash.weighted_jaccard(h, w, h2, w2) == pytest.approx(2 / 6)
+    assert minhash.weighted_jaccard(np.array([1, 2, 3], np.uint64), np.array([1, 2, 1], np.float32), np.array([2, 3, 4], np.uint64), np.array([1, 1, 2], np.float32)) == pytest.approx(2 / 6)
+    assert (minhash.unpacked(minhash.packed(np.array([0, 5, (1 << 48) - 1], np.uint64))) == [0, 5, (1 << 48) - 1]).all()
 
 
 def test_sampling_agrees_with_weighted_jaccard():
@@ -122,7 +153,7 @@ def test_sampling_agrees_with_weighted_jaccard():
 
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(40, 50)], "a long, b long")
-    assert {r.id: r.label for r in minhash.components(spark, edges).collect()} == {**dict.fromkeys(range(21), 0), 40: 40, 50: 40}
+    assert {r.id: r.label for r in minhash.components(edges).collect()} == {**dict.fromkeys(range(21), 0), 40: 40, 50: 40}
 
 
 def test_sharding(docs, none):
