@@ -6,7 +6,6 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
@@ -16,12 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranges, settle, slices
+from .common import ranges, settle, slices, text_bytes
 
 Group = tuple[list[tuple[int, int]], int]  # the sizes in a sequence, with how many of each; and how many such sequences
 
 
-@dataclass
 class Encoder:
     """Ids by a byte-level BPE file of the tokenizers library, with those of recent pieces of text kept.
 
@@ -30,74 +28,93 @@ class Encoder:
     are encoded in long rows; as each id stands for a known number of bytes, the row's ids fall to its pieces.
     """
 
-    path: str
-    most: int = 150_000
-    known: dict[str, int] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(self.path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.bytes_of[k] = len(token)  # a character of the vocabulary stands for one byte
+        # by what stands before a word ("", a space, or any text as it is): the words and their pieces' numbers
+        self.known = {kind: (pa.array([], pa.string()), np.zeros(0, np.int64)) for kind in ("", " ", "whole")}
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, new: list[str]) -> None:
-        cut = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
-        other = sorted(set(new).difference(cut))
+    def add(self, flat: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+        """Keep the ids of new pieces; their numbers."""
+        first = len(self.at) - 1
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+        self.flat = np.concatenate([self.flat, *flat])
+        return np.arange(first, len(self.at) - 1)
+
+    def encode_one(self, piece: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self, kind: str, new: pa.Array) -> np.ndarray:
+        words = new.to_pylist()
+        if kind != " ":
+            flat = [self.encode_one(p) for p in words]
+            return self.add(flat, np.array([len(x) for x in flat], np.int64))
         flat, counts = [], []
-        for k in range(0, len(cut), 4000):
-            part = cut[k : k + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(p.encode()) for p in part])
-            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+        size = pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        for k in range(0, len(words), 4000):
+            row = " " + " ".join(words[k : k + 4000])
+            ids = np.array(self.tokenizer.encode_batch_fast([row], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size[k : k + 4000])) + 1
             flat.append(ids)
             counts.append(np.diff(last, prepend=0))
-        for p in other:
-            flat.append(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32))
-            counts.append(np.array([len(flat[-1])]))
-        self.known.update(zip(cut + other, range(len(self.at) - 1, len(self.at) - 1 + len(new)), strict=True))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(counts))])
-        self.flat = np.concatenate([self.flat, *flat])
-
-    def codes(self, parts: list[str]) -> np.ndarray:
-        if new := [p for p in dict.fromkeys(parts) if p not in self.known]:
-            self.learn(new)
-        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        return self.add(flat, np.concatenate(counts))
+
+    def codes(self, kind: str, words: pa.Array) -> np.ndarray:
+        """The numbers of the pieces of distinct words."""
+        known, numbers = self.known[kind]
+        at = pc.fill_null(pc.index_in(words, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if (at < 0).any():
+            new = words.filter(pa.array(at < 0))
+            at[at < 0] = len(known) + np.arange(len(new))
+            known, numbers = pa.concat_arrays([known, new]), np.concatenate([numbers, self.learn(kind, new)])
+            self.known[kind] = known, numbers
+        return numbers[at]
+
+    def forget(self, used: np.ndarray) -> None:
+        """Keep only the pieces of these numbers."""
+        keep = np.zeros(len(self.at) - 1, bool)
+        keep[used] = True
+        moved, size = np.cumsum(keep) - 1, np.diff(self.at)[keep]
+        self.flat = self.flat[ranges(self.at[:-1][keep], size)]
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        for kind, (known, numbers) in self.known.items():
+            mine = keep[numbers]
+            self.known[kind] = known.filter(pa.array(mine)), moved[numbers[mine]]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and their bounds."""
-        if len(self.known) > self.most:
-            self.known.clear()
-            self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(count) - count
-        white = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
-        odd = np.logical_or.reduceat(white[index], first) if len(first) else np.zeros(0, bool)
+        odd = np.logical_or.reduceat(white_edged(words)[index], first) if len(first) else np.zeros(0, bool)
         own = np.repeat(~odd, count)
         head = np.zeros(len(index), bool)
         head[first] = True
         code = np.zeros(len(index), np.int64)
-        for mask, lead in ((own & head, ""), (own & ~head, " ")):
+        for mask, kind in ((own & head, ""), (own & ~head, " ")):
             mine = index[mask]
             used = np.flatnonzero(np.bincount(mine, minlength=len(words)))
             of = np.zeros(len(words), np.int64)
-            of[used] = self.codes([lead + words[k] for k in used])
+            of[used] = self.codes(kind, words.take(pa.array(used)))
             code[mask] = of[mine]
         if odd.any():
             pieces, kept = [], []
             for k in np.flatnonzero(odd):
-                cut = whole_pieces([words[i] for i in index[first[k] : first[k] + count[k]]])
+                cut = whole_pieces(words.take(pa.array(index[first[k] : first[k] + count[k]])).to_pylist())
                 pieces += cut
                 kept.append(len(cut))
-            extra = self.codes(pieces)
+            extra = pa.array(pieces, pa.string()).dictionary_encode()
+            extra = self.codes("whole", extra.dictionary)[extra.indices.to_numpy(zero_copy_only=False)]
             joined, at, n = [], 0, iter(kept)
             for k in range(len(first)):
                 if odd[k]:
@@ -109,9 +126,23 @@ class Encoder:
             count = np.array([len(j) for j in joined])
             code = np.concatenate(joined)
         size = np.diff(self.at)[code]
-        row = np.repeat(np.arange(len(count)), count)
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(row, size, len(count)).astype(np.int64))])
-        return self.flat[ranges(self.at[:-1][code], size)], bounds
+        bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
+        ids = self.flat[ranges(self.at[:-1][code], size)]
+        if len(self.at) > self.most:
+            self.forget(code)
+        return ids, bounds
+
+
+def white_edged(words: pa.Array) -> np.ndarray:
+    """Which words are empty, or have white space first or last."""
+    data, at = text_bytes(words)
+    size = np.diff(at)
+    edges = np.zeros((len(words), 2), np.uint8)
+    edges[size > 0] = np.stack([data[at[:-1][size > 0]], data[at[1:][size > 0] - 1]], 1)
+    out = size == 0
+    doubtful = np.flatnonzero(~out & ~((edges > 0x20) & (edges < 0x7F)).all(1))  # the others are of printable ASCII
+    out[doubtful] = [w[0].isspace() or w[-1].isspace() for w in words.take(pa.array(doubtful)).to_pylist()]
+    return out
 
 
 @cache
@@ -139,7 +170,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end: int, key: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = encoder_of(path), TaskContext.get().partitionId()
         seen, full = np.zeros(capacity, np.int64), 0
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             ids, at = encoder.encode(batch.column(1))
             n = np.diff(at) + 1
             bounds = np.concatenate([[0], np.cumsum(n)])
