@@ -213,7 +213,7 @@ def verified(pairs: DataFrame, sets: DataFrame, idf: Broadcast, least: float) ->
 
 
 def common_weight(rows: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
-    """rows (id, total) with common: the weight of a row's shingles that another of the rows has too."""
+    """rows (id, total and others) with common: the weight of a row's shingles that another of the rows has too."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "h", 2 << 20):
@@ -226,7 +226,7 @@ def common_weight(rows: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame
     each = sets.join(rows.select("id"), "id", "left_semi").select("id", "h", "n").mapInArrow(spread, "id long, h long, w float")
     alone = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("w").alias("w")).filter("id = last")
     own = alone.groupBy("id").agg(F.sum("w").alias("own"))
-    return rows.join(own, "id", "left").select("id", "total", (F.col("total") - F.coalesce("own", F.lit(0.0))).alias("common"))
+    return rows.join(own, "id", "left").withColumn("common", F.col("total") - F.coalesce("own", F.lit(0.0))).drop("own")
 
 
 def may_link(least: float, a: str, b: str) -> Column:
@@ -248,8 +248,9 @@ def linked(buckets: DataFrame, sets: DataFrame, idf: Broadcast, least: float) ->
     few, crowded = buckets.filter(F.col("n") <= CROWD), buckets.filter(F.col("n") > CROWD)
     near = F.least("x.total", "y.total") >= (least - 1e-6) * F.greatest("x.total", "y.total")
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    bounded = common_weight(crowded.select("id", "total").distinct(), sets, idf).filter(F.col("common") >= (least - 1e-6) * F.col("total"))
-    crowd = settle(crowded.select("key", "id").join(bounded, "id").select("key", "id", "total", "common"), "minhash-crowd")
+    of_row = crowded.groupBy("id").agg(F.first("total").alias("total"), F.collect_set("key").alias("keys"))
+    bounded = common_weight(of_row, sets, idf).filter(F.col("common") >= (least - 1e-6) * F.col("total"))
+    crowd = settle(bounded.withColumn("key", F.explode("keys")), "minhash-crowd")
     first = F.max(F.struct((F.col("common") / F.col("total")).alias("share"), (-F.col("id")).alias("back"), "total", "common"))
     leaders = settle(crowd.groupBy("key").agg(first.alias("first")).select("key", (-F.col("first.back")).alias("id"), "first.total", "first.common"), "minhash-leaders")
     led = crowd.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & may_link(least, "x", "y"))
@@ -259,7 +260,8 @@ def linked(buckets: DataFrame, sets: DataFrame, idf: Broadcast, least: float) ->
     rows = crowd.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     main = leaders.join(label, "id", "left").select("key", F.coalesce("label", "id").alias("main"))
     apart = rows.join(main, "key").filter("label != main")
-    more = apart.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & may_link(least, "x", "y"))
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # of the buckets they share, the first
+    more = apart.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & may_link(least, "x", "y") & once)
     more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     found = settle(verified(more, sets, idf, least), "minhash-more")
     if not found.isEmpty():
