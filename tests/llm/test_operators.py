@@ -344,25 +344,54 @@ def test_decontamination(spark, docs, none):
     assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(k) for k in [*(k for k in TEXTS if k != 7), None])
 
 
+def least_edits(item, text):
+    """The fewest edits that make item a part of text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def edited(rng, item, edits):
+    out = list(item)
+    for _ in range(edits):
+        p = int(rng.integers(0, len(out)))
+        out[p : p + int(rng.integers(0, 2))] = [str(rng.choice(list("xyz")))]
+    return "".join(out)
+
+
 def test_alignment_equals_edit_distance():
     rng = np.random.default_rng(2)
     for _ in range(40):
         item = "".join(rng.choice(list("abcdefghij"), 120))
-        edited = list(item)
-        for _ in range(int(rng.integers(0, 8))):
-            p = int(rng.integers(0, len(edited)))
-            edited[p : p + int(rng.integers(0, 2))] = [str(rng.choice(list("xyz")))]
-        data, at = toxicity.joined([prose(9, 20) + "".join(edited) + prose(8, 20)])
+        data, at = toxicity.joined([prose(9, 20) + edited(rng, item, int(rng.integers(0, 8))) + prose(8, 20)])
         block = decontaminate.Block([1], [np.frombuffer(item.encode(), np.uint8)], 0.1)
         got = block.verify(data, at, *block.regions(data, at))
-        text = data.tobytes().decode()
-        row = [0] * (len(text) + 1)
-        for i, c in enumerate(item, 1):
-            new = [i]
-            for j, d in enumerate(text, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
-            row = new
-        assert min(row) <= 12 and min(g[4] for g in got) == min(row)
+        least = least_edits(item, data.tobytes().decode())
+        assert least <= 12 and min(g[4] for g in got) == least
+
+
+def test_short_items_have_their_whole_budget():
+    """Items of 1 to 48 bytes, with up to a tenth of them in edits and more, against edit distances."""
+    rng = np.random.default_rng(4)
+    for size in list(range(1, 49)) * 2:
+        item = "".join(rng.choice(list("abcdefghijklmnop"), size))
+        for edits in range(size // 10 + 2):
+            data, at = toxicity.joined([prose(rng.integers(99), 4).upper().replace(" ", "") + edited(rng, item, edits) + "QQQ"])
+            block = decontaminate.Block([1], [np.frombuffer(item.encode(), np.uint8)], 0.1)
+            got = block.verify(data, at, *block.regions(data, at))
+            least = least_edits(item, data.tobytes().decode())
+            assert (min(g[4] for g in got) == least) if least <= size // 10 else not got
+
+
+def test_alignment_of_a_long_item():
+    item = prose(31, 4000)
+    data, at = toxicity.joined([item[:9000] + "x" + item[9000:]] * 3)
+    block = decontaminate.Block([1], [np.frombuffer(item.encode(), np.uint8)], 0.01)
+    assert {(g[0], g[4]) for g in block.verify(data, at, *block.regions(data, at))} == {(0, 1), (1, 1), (2, 1)}
 
 
 def test_warc(spark):
