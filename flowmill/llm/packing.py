@@ -28,7 +28,7 @@ class Encoder:
     are encoded in long rows; as each id stands for a known number of bytes, the row's ids fall to its pieces.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,13 +40,14 @@ class Encoder:
             self.bytes_of[k] = len(token)  # a character of the vocabulary stands for one byte
         # by what stands before a word ("", a space, or any text as it is): the words and their pieces' numbers
         self.known = {kind: (pa.array([], pa.string()), np.zeros(0, np.int64)) for kind in ("", " ", "whole")}
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.at, self.used = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def add(self, flat: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
         """Keep the ids of new pieces; their numbers."""
         first = len(self.at) - 1
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
         self.flat = np.concatenate([self.flat, *flat])
+        self.used = np.concatenate([self.used, np.zeros(len(counts), np.int32)])
         return np.arange(first, len(self.at) - 1)
 
     def encode_one(self, piece: str) -> np.ndarray:
@@ -78,13 +79,13 @@ class Encoder:
             self.known[kind] = known, numbers
         return numbers[at]
 
-    def forget(self, used: np.ndarray) -> None:
-        """Keep only the pieces of these numbers."""
-        keep = np.zeros(len(self.at) - 1, bool)
-        keep[used] = True
+    def forget(self) -> None:
+        """Keep the half of the pieces that most slices of late had."""
+        keep = np.zeros(len(self.used), bool)
+        keep[np.argpartition(-self.used, self.most // 2)[: self.most // 2]] = True
         moved, size = np.cumsum(keep) - 1, np.diff(self.at)[keep]
         self.flat = self.flat[ranges(self.at[:-1][keep], size)]
-        self.at = np.concatenate([[0], np.cumsum(size)])
+        self.at, self.used = np.concatenate([[0], np.cumsum(size)]), self.used[keep] // 2
         for kind, (known, numbers) in self.known.items():
             mine = keep[numbers]
             self.known[kind] = known.filter(pa.array(mine)), moved[numbers[mine]]
@@ -128,8 +129,9 @@ class Encoder:
         size = np.diff(self.at)[code]
         bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
         ids = self.flat[ranges(self.at[:-1][code], size)]
-        if len(self.at) > self.most:
-            self.forget(code)
+        self.used[code] += 1  # once a slice, however often there
+        if len(self.used) > self.most:
+            self.forget()
         return ids, bounds
 
 
