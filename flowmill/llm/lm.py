@@ -44,6 +44,16 @@ def from_planes(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def counts_blob(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; the first byte says how many."""
+    size = next(k for k in (1, 2, 4, 8) if k == 8 or int(x.max(initial=0)) < 1 << 8 * k)
+    return bytes([size]) + planes(x.astype(f"u{size}"))
+
+
+def from_counts_blob(blob: bytes) -> np.ndarray:
+    return from_planes(blob[1:], f"u{blob[0]}").astype(np.int64)
+
+
 def blocks(docs: DataFrame, parts: int, held: int, key: str, text: str) -> DataFrame:
     """Rows of about SIZE bytes of text: ids, folds (0 to learn from, 1 deleted from it for the weights, 2 held out)."""
     train = fold(F.col(key), parts) != held
@@ -119,23 +129,29 @@ def counted(stored: DataFrame) -> DataFrame:
     def add(group: pa.Table) -> pa.Table:
         asked = [[from_planes(b, kind) for b in group.column(n).to_pylist()] for n, kind in (("keys", "u8"), ("kept", "u4"), ("deleted", "u4"))]
         key, inverse = np.unique(np.concatenate(asked[0]), return_inverse=True)
-        kept, deleted = (np.bincount(inverse, np.concatenate(x), len(key)).astype(np.int64) for x in asked[1:])
+        kept, deleted = (added(inverse, np.concatenate(x), len(key)) for x in asked[1:])
         word = (key & np.uint64(1)) == 0
         both = kept + deleted
         totals = np.array([kept[word].sum(), (kept[word] > 0).sum(), both[word].sum(), (both[word] > 0).sum()], np.int64).tobytes()
         part, ends = group.column("part")[0].as_py(), np.cumsum([len(k) for k in asked[0]])
         answers = np.split(inverse, ends[:-1])
-        most = (1 << 32) - 1  # a count above this is as good as this
-        columns = [[planes(np.minimum(x[a], most).astype(np.uint32)) for a in answers] for x in (kept, deleted)]
+        columns = [[counts_blob(x[a]) for a in answers] for x in (kept, deleted)]
         return pa.table([pa.array([part] * (len(answers) + 1), pa.int32()), pa.array([*group.column("block").to_pylist(), -1], pa.int64()), pa.array([*columns[0], totals], pa.binary()), pa.array([*columns[1], b""], pa.binary())], ["part", "block", "kept", "deleted"])
 
     sent = stored.mapInArrow(ask, "part int, block long, keys binary, kept binary, deleted binary")
     return settle(sent.groupBy("part").applyInArrow(add, "part int, block long, kept binary, deleted binary"), "lm-counts")
 
 
+def added(number: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The sums of n by number, in whole numbers of 64 bits."""
+    order = np.argsort(number, kind="stable")
+    cut = np.searchsorted(number[order], np.arange(size))
+    return np.add.reduceat(n[order].astype(np.int64), cut) if size else np.zeros(0, np.int64)
+
+
 def answered(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     right = right.sort_by("part")
-    kept, deleted = (np.concatenate([from_planes(b, "u4") for b in right.column(n).to_pylist()]).astype(np.int64) for n in ("kept", "deleted"))
+    kept, deleted = (np.concatenate([from_counts_blob(b) for b in right.column(n).to_pylist()]) for n in ("kept", "deleted"))
     return kept, deleted
 
 

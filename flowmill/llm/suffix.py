@@ -10,13 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _CODES, mix, partitions, ranges, settle, slices, text_bytes, with_field
+from .common import _CODES, field, free_names, mix, partitions, ranges, settle, slices, text_bytes, with_field
 
 GRAM = 32  # bytes of an anchor
 NULL = -(1 << 63)  # stands for a null id: the smallest
 ODD = 0x9E3779B97F4A7C15
 CHUNK = 1 << 18  # bytes that are sorted together, if they are of more than one anchor
 MOST = 1 << 22  # anchors that may be broadcast: 32 MB
+OTHER_ODD, OTHER_CODES = 0xD1342543DE82EF95, mix(_CODES ^ np.uint64(ODD))  # for a second, independent hash
 HOT = 4_000  # contexts of an anchor from which on its strings are grouped one by one
 COLUMNS = (("a", "u8"), ("c", "u8"), ("id", "i8"), ("lo", "i4"), ("h", "i2"), ("n", "u2"))
 
@@ -43,15 +44,16 @@ def joined(blobs: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 class Sums:
     """Prefix sums that give the hash of any substring of the joined texts."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, odd: int = ODD, codes: np.ndarray = _CODES) -> None:
         n = len(data)
-        power = np.cumprod(np.full(n, ODD, np.uint64))
+        self.odd = np.uint64(odd)
+        power = np.cumprod(np.full(n, odd, np.uint64))
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES[data] * power, out=self.sums[1:])
-        self.inverse = np.cumprod(np.full(n, pow(ODD, -1, 1 << 64), np.uint64))
+        np.cumsum(codes[data] * power, out=self.sums[1:])
+        self.inverse = np.cumprod(np.full(n, pow(odd, -1, 1 << 64), np.uint64))
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(ODD))
+        return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo] + (hi - lo).astype(np.uint64) * self.odd)
 
     def grams(self, size: int) -> np.ndarray:
         return mix((self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size])
@@ -234,9 +236,9 @@ def later_places(body: np.ndarray, size: np.ndarray, doc: np.ndarray, lo: np.nda
 def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The spans of each document covered by strings of `length` bytes that also start earlier.
 
-    Tasks find the anchors of their texts (contexts()) and send one row for each distinct context, with its
-    earliest place, to the part of its anchor; later copies are covered at once, so a group of copies
-    sends a row for each task. There, repeats among tasks are covered, and the distinct contexts
+    Tasks find the anchors of their texts (contexts()) and send one row for each distinct context (by two
+    independent hashes of 64 bits), with its earliest place, to the part of its anchor; later copies are
+    covered at once, so a group of copies sends a row for each task. There, repeats among tasks are covered, and the distinct contexts
     of an anchor with several are fetched as bytes and sorted: a suffix array by two-stage sorting, in which
     strings of equal first bytes are neighbours. All but the earliest of these are covered. An anchor with
     HOT contexts or more, as within a line that a large share of the documents begins with, would make one
@@ -246,15 +248,15 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     parts = 4 * partitions(spark)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL)).alias("id"), F.pmod(F.hash(F.col(text)), F.lit(1 << 15)).cast("int").alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(field(key).cast("long"), F.lit(NULL)).alias("id"), F.pmod(F.hash(field(text)), F.lit(1 << 15)).cast("int").alias("h"), F.coalesce(field(text), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
             data, at = text_bytes(part.column(2))
             sums = Sums(data)
             _, lo, hi, a = contexts(data, at, length, sums)
-            a, n = np.unique(a[distinct(a, sums.of(lo, hi))], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a[n >= 8].view(np.int64)), pa.array(n[n >= 8])], ["a", "n"])
+            a, n = tallied(a[distinct(a, sums.of(lo, hi))], int(sums.sums[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["a", "n"])
 
     tally = settle(rows.mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT), "suffix-hot")
     least = HOT
@@ -265,17 +267,17 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
             data, at = text_bytes(part.column(2))
-            sums = Sums(data)
-            row, lo, hi, a = contexts(data, at, length, sums)
-            c = sums.of(lo, hi)
+            row, lo, hi, a = contexts(data, at, length, sums := Sums(data))
+            other = Sums(data, OTHER_ODD, OTHER_CODES)
+            c = other.of(lo, hi)
             if len(hot.value) and len(a):
                 is_hot = hot.value[np.minimum(np.searchsorted(hot.value, a), len(hot.value) - 1)] == a
                 strings = np.maximum(hi[is_hot] - lo[is_hot] - length + 1, 0)
                 own, where = np.repeat(row[is_hot], strings), ranges(lo[is_hot], strings)
                 where, index = np.unique(where, return_index=True)
-                whole = sums.of(where, where + length)
+                whole, twice = (x.of(where, where + length) for x in (sums, other))
                 row, lo, hi = (np.concatenate([x[~is_hot], y]) for x, y in ((row, own[index]), (lo, where), (hi, where + length)))
-                a, c = np.concatenate([a[~is_hot], whole]), np.concatenate([c[~is_hot], whole])
+                a, c = np.concatenate([a[~is_hot], whole]), np.concatenate([c[~is_hot], twice])
             ids, h = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             r = {"a": a, "c": c, "id": ids[row], "h": h[row], "lo": lo - at[row], "n": hi - lo}
             order, again = repeated(r)
@@ -350,6 +352,17 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
     return first.filter("a IS NULL").drop("a").unionByName(fetched.groupBy("part").applyInArrow(sort, SPANS))
 
 
+def tallied(a: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors in a with their counts; of counts n under 8, n in 8 stand as 8, so that sums come out right.
+
+    Only how the work is dealt out depends on these sums, never the result.
+    """
+    a, n = np.unique(a, return_counts=True)
+    draw = (mix(a ^ np.uint64(seed & ((1 << 64) - 1))) & np.uint64(7)).astype(np.int64)
+    kept = draw < n
+    return a[kept], np.maximum(n[kept], 8)
+
+
 def distinct(a: np.ndarray, c: np.ndarray) -> np.ndarray:
     """A row of each distinct pair."""
     order = np.lexsort((c, a))
@@ -376,9 +389,10 @@ def cut(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "te
     Texts under `length` bytes, however often they occur, stay; an empty table gives no rows.
     """
     names = docs.columns
-    marked = docs.select(*(F.col(f"`{n}`") for n in names), F.coalesce(F.col(key).cast("long"), F.lit(NULL)).alias("__id"), F.pmod(F.hash(F.col(text)), F.lit(1 << 15)).cast("int").alias("__h"))
-    spans = repeats(docs, length, key, text).groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.flatten(F.collect_list("lo")).alias("__lo"), F.flatten(F.collect_list("hi")).alias("__hi"))
-    both = marked.join(spans, ["__id", "__h"], "left").select(*(F.col(f"`{n}`") for n in names), "__lo", "__hi")
+    idn, hn, lon, hin = free_names(docs, "id", "h", "lo", "hi")
+    marked = docs.withColumn(idn, F.coalesce(field(key).cast("long"), F.lit(NULL))).withColumn(hn, F.pmod(F.hash(field(text)), F.lit(1 << 15)).cast("int"))
+    spans = repeats(docs, length, key, text).groupBy(F.col("id").alias(idn), F.col("h").alias(hn)).agg(F.flatten(F.collect_list("lo")).alias(lon), F.flatten(F.collect_list("hi")).alias(hin))
+    both = marked.join(spans, [idn, hn], "left").select(*(field(n) for n in names), lon, hin)
     own = [n for n in names if n not in ("kept", "n_bytes", "n_removed", "n_spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,38 +409,39 @@ def cut(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "te
             columns = [part.column(names.index(n)) for n in own]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(np.diff(at)), pa.array(removed), pa.array(spans.astype(np.int64))], [*own, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    schema = docs.select(*(F.col(f"`{n}`") for n in own)).schema
+    schema = docs.select(*(field(n) for n in own)).schema
     for n, kind in (("kept", "binary"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint")):
         schema = with_field(schema, n, kind)
     return both.mapInArrow(run, schema)
 
 
 def kept_digest(kept: DataFrame) -> DataFrame:
+    """The columns of cut() with the SHA-256 of the bytes left, for tables of doc_id."""
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-
 def with_kept_text(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
     """docs with the text cut() leaves, and the column size, where there is one, set to its characters.
 
     Bytes of a character that is only partly left go too. Null texts stay null, and a text with nothing removed
-    stays as it is; documents of which nothing is left are dropped.
+    stays as it is; documents of which nothing is left are dropped. Further columns stay as they are,
+    whatever their names.
     """
     names = docs.columns
-    whole = cut(docs.withColumn("__null", F.col(text).isNull()), length, key, text)
-    at = names.index(text)
-    sized = size in names
+    at, sized = names.index(text), size in names
+    numbered = [f"c{k}" for k in range(len(names))]  # no names of the input's beside those that cut() adds
+    whole = cut(docs.toDF(*numbered).withColumn("null", F.col(f"c{at}").isNull()), length, f"c{names.index(key)}", f"c{at}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            field = lambda n: part.column(part.schema.get_field_index(n))  # noqa: B023, E731
-            texts = [b.decode("utf-8", "ignore") for b in field("kept").to_pylist()]
-            null, removed = field("__null").to_pylist(), field("n_removed").to_pylist()
-            columns = [part.column(part.schema.get_field_index(n)) for n in names]
+            of = lambda n: part.column(part.schema.get_field_index(n))  # noqa: B023, E731
+            texts = [b.decode("utf-8", "ignore") for b in of("kept").to_pylist()]
+            null, removed = of("null").to_pylist(), of("n_removed").to_pylist()
+            columns = [of(n) for n in numbered]
             columns[at] = pa.array([None if z else t for t, z in zip(texts, null, strict=True)], pa.string())
             if sized:
-                old = field(size).to_pylist()
-                columns[names.index(size)] = pa.array([len(t) if r else o for t, r, o in zip(texts, removed, old, strict=True)], field(size).type)
+                old = columns[names.index(size)]
+                columns[names.index(size)] = pa.array([len(t) if r else o for t, r, o in zip(texts, removed, old.to_pylist(), strict=True)], old.type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([bool(t) or not r for t, r in zip(texts, removed, strict=True)], pa.bool_()))
 
     return whole.mapInArrow(run, docs.schema)

@@ -300,6 +300,30 @@ def test_lm(docs, none):
     assert all(r.score <= 0 and r.base_score <= 0 and r.train_tokens == got[3].train_tokens for r in got.values())
 
 
+def test_lm_base_score_equals_counting(docs):
+    """n_tokens, n_known, train_tokens and base_score against plain counting."""
+    import re
+    from collections import Counter
+
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
+    tokens = lambda t: [*(w.lower() for w in re.findall(r"[^\x20\x09-\x0d]+", t or "")), None]
+    c = Counter(w for k, t in rows if not held(k) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    for r in lm.score(docs).collect():
+        if r.doc_id is not None:
+            own = tokens(TEXTS[r.doc_id])
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(own), sum(c[w] > 0 for w in own), n)
+            assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in own))
+
+
+def test_counts_above_32_bits_stay_exact():
+    counts = np.array([0, 1, 255, 70_000, (1 << 32) - 1, 1 << 32, 5_000_000_001], np.int64)
+    for k in range(len(counts) + 1):
+        assert (lm.from_counts_blob(lm.counts_blob(counts[:k])) == counts[:k]).all()
+    assert lm.added(np.array([1, 0, 1, 2]), np.array([1 << 31, 5, 1 << 62, 3]), 3).tolist() == [5, (1 << 31) + (1 << 62), 3]
+
+
 def test_media(docs, none):
     got = {r.doc_id: r for r in media.features(media.stored_documents(docs)).collect()}
     assert media.features(media.stored_documents(none)).count() == 0
@@ -440,6 +464,28 @@ def test_suffix_with_hot_anchors(spark, monkeypatch):
         assert (got[k].n_removed, bytes(got[k].kept)) == (removed, kept)
 
 
+def test_anchors_spread_thinly_are_tallied():
+    """One context in each of 20,000 slices: the tally comes to about that, though each slice has but one."""
+    anchors = np.array([3, 1 << 60, (1 << 64) - 5], np.uint64)
+    total = np.zeros(3)
+    for seed in range(20_000):
+        a, n = suffix.tallied(anchors[[0, 1, 1, 2, 2, 2, 2, 2, 2, 2, 2, 2]], seed * 0x9E3779B97F4A7C15)
+        total[np.searchsorted(anchors, a)] += n
+    assert total == pytest.approx([20_000, 40_000, 180_000], rel=0.1)
+
+
+def test_columns_of_any_name_stay(spark):
+    line = prose(61, 60)
+    rows = [(k, 100 + k, "z", 5 * k, 6, b"k", 7, line + prose(900 + k, 30), 1) for k in range(6)] + [(9, None, None, None, None, None, None, line + prose(900, 30), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, n_bytes long, `a.b` string, id int, lo int, kept binary, `__id` int, text string, `null` int")
+    cut = suffix.with_kept_text(docs)
+    assert cut.columns == docs.columns
+    got = {r.doc_id: r for r in cut.collect()}
+    assert got[0].text == rows[0][7] and got[1].n_bytes == 101 and got[1]["a.b"] == "z" and got[2].id == 10 and bytes(got[3].kept) == b"k" and got[4].text == rows[4][7][len(line) :].lstrip() or got[4].text in rows[4][7]
+    one = minhash.one_of_each(docs)
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) in ([0, 1, 2, 3, 4, 5], [0, 1, 2, 3, 4])
+
+
 def test_two_stage_sorting():
     rng = np.random.default_rng(1)
     for _ in range(30):
