@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ GRAM = 32  # bytes of an anchor
 NULL = -(1 << 63)  # stands for a null id: the smallest
 ODD = 0x9E3779B97F4A7C15
 CHUNK = 1 << 18  # bytes that are sorted together, if they are of more than one anchor
+KEPT = 1 << 21  # powers kept of each number: 16 MB
 MOST = 1 << 22  # anchors that may be broadcast: 32 MB
 OTHER_ODD, OTHER_CODES = 0xD1342543DE82EF95, mix(_CODES ^ np.uint64(ODD))  # for a second, independent hash
 HOT = 4_000  # contexts of an anchor from which on its strings are grouped one by one
@@ -41,16 +43,24 @@ def joined(blobs: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return {n: np.concatenate([b[n] for b in blobs]) if blobs else np.zeros(0, t) for n, t in COLUMNS}
 
 
+def powers(x: int, n: int) -> np.ndarray:
+    """x, x**2 and so on of 64 bits; those of a slice are kept."""
+    return kept_powers(x)[:n] if n <= KEPT else np.cumprod(np.full(n, x, np.uint64))
+
+
+@cache
+def kept_powers(x: int) -> np.ndarray:
+    return np.cumprod(np.full(KEPT, x, np.uint64))
+
+
 class Sums:
     """Prefix sums that give the hash of any substring of the joined texts."""
 
     def __init__(self, data: np.ndarray, odd: int = ODD, codes: np.ndarray = _CODES) -> None:
-        n = len(data)
         self.odd = np.uint64(odd)
-        power = np.cumprod(np.full(n, odd, np.uint64))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes[data] * power, out=self.sums[1:])
-        self.inverse = np.cumprod(np.full(n, pow(odd, -1, 1 << 64), np.uint64))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(codes[data] * powers(odd, len(data)), out=self.sums[1:])
+        self.inverse = powers(pow(odd, -1, 1 << 64), len(data))
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo] + (hi - lo).astype(np.uint64) * self.odd)

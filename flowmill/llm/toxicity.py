@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, ranges, slices, text_bytes, token_hashes, tokens, with_field
+from .common import LOWER, field, fold, ranges, slices, text_bytes, tokens, with_field
 from .quality import labelled_sample
 
-ORDER, OWN = 6, 4  # n-grams of up to ORDER bytes within a word; orders from OWN up are counted for each class
+ORDER, OWN = 5, 3  # n-grams of up to ORDER bytes, across words; orders from OWN up are counted for each class
+FLAT = 3e-3  # nats a byte: differences that vary less say nothing
+RATE = 0.01  # of the words of a toxic text, those that come from the toxic chain; the others are ordinary
 
 
 @dataclass
@@ -46,28 +48,29 @@ class Counts:
         return share + np.where(self.contexts[at] == context, self.left[at], 1.0) * lower
 
 
-def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of joined rows, lower-case: padded bytes and their bounds; each token's word and row."""
+def running(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram of ORDER bytes that ends in each byte of the words and the space after each, its word and each word's row.
+
+    Lower-case A-Z, one space between words and before the first; bytes before that are 0.
+    """
     data = LOWER[data]
     starts, lengths, row = tokens(data, at)
-    _, first, word = np.unique(token_hashes(data, starts, lengths), return_index=True, return_inverse=True)
-    size = lengths[first] + 2
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    padded = np.full(int(bounds[-1]), 32, np.uint8)
-    padded[ranges(bounds[:-1] + 1, size - 2)] = data[ranges(starts[first], size - 2)]
-    return padded, bounds, word, row
-
-
-def grams_of(padded: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte after a word's first space, its n-gram of ORDER bytes (0 before the word) and its word."""
-    size = np.diff(bounds)
-    inside = ranges(np.zeros(len(size), np.int64), size)
-    key = np.zeros(len(padded), np.uint64)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none
+    head = np.r_[True, row[1:] != row[:-1]]  # a text's first word has a space before it
+    size = lengths + 1 + head
+    ends = np.cumsum(size)
+    text = np.full(int(ends[-1]), 32, np.uint8)
+    text[ranges(ends - lengths - 1, lengths)] = data[ranges(starts, lengths)]
+    first = np.maximum.accumulate(np.where(head, ends - size, 0))
+    inside = np.arange(len(text)) - np.repeat(first, size)
+    key = np.zeros(len(text), np.uint64)
     for k in range(ORDER):
-        seen = inside >= k
-        key[seen] |= padded[np.flatnonzero(seen) - k].astype(np.uint64) << np.uint64(8 * k)
-    keep = inside > 0
-    return key[keep], np.repeat(np.arange(len(size)), size)[keep]
+        seen = np.flatnonzero(inside >= k)
+        key[seen] |= text[seen - k].astype(np.uint64) << np.uint64(8 * k)
+    kept = inside > 0
+    return key[kept], np.repeat(np.arange(len(size)), size)[kept], row
 
 
 def low(order: int) -> np.uint64:
@@ -76,22 +79,16 @@ def low(order: int) -> np.uint64:
 
 @dataclass
 class Model:
-    """Kneser-Ney chains of both classes over shared lower orders, and a logistic rule on their differences."""
+    """Kneser-Ney chains of both classes over shared lower orders, with a scale and an offset for their difference."""
 
     own: tuple[list[Counts], list[Counts]]
     shared: list[Counts]
-    weights: np.ndarray
-    scale: tuple[np.ndarray, np.ndarray]
-    offset: float = 0.0  # from the sample's log-odds to all examples'
+    scale: float = 1.0
+    offset: float = 0.0
 
-    def differences(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Each row's features: mean log-likelihood difference a byte, its largest over words, and so on."""
-        padded, bounds, word, row = words_of(data, at)
-        rows = len(at) - 1
-        if not len(word):
-            return np.zeros((rows, 5))
-        keys, owner = grams_of(padded, bounds)
-        distinct, inverse = np.unique(keys, return_inverse=True)
+    def log_likelihoods(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each n-gram's last byte, given the bytes before it: ordinary and toxic."""
+        distinct, inverse = np.unique(grams, return_inverse=True)
         p = np.full(len(distinct), 1 / 256)
         for k, counts in enumerate(self.shared):
             p = counts.mixed(distinct & low(k + 1), p)
@@ -100,30 +97,26 @@ class Model:
             q = p
             for k, counts in enumerate(chain):
                 q = counts.mixed(distinct & low(OWN + k), q)
-            sides.append(np.log(q))
-        each = (sides[1] - sides[0])[inverse]
-        length = np.bincount(owner, minlength=len(bounds) - 1)
-        of_word = np.bincount(owner, each, len(bounds) - 1)
-        value, size = of_word[word], length[word]
-        n = np.bincount(row, minlength=rows)
-        mean = np.bincount(row, value, rows) / np.maximum(np.bincount(row, size, rows), 1)
-        firsts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        has = row[firsts]
-        most, second, dense = np.zeros(rows), np.zeros(rows), np.zeros(rows)
-        most[has] = np.maximum.reduceat(value, firsts)
-        rest = value.copy()
-        top = np.flatnonzero(value == most[row])
-        rest[top[np.unique(row[top], return_index=True)[1]]] = 0
-        second[has] = np.maximum.reduceat(rest, firsts)
-        dense[has] = np.maximum.reduceat(value / size, firsts)
-        return np.stack([mean, most, second, dense, np.log1p(n)], 1)
-
-    def inputs(self, x: np.ndarray) -> np.ndarray:
-        x = (x - self.scale[0]) / self.scale[1]
-        return np.concatenate([x, x[:, 1:3] ** 2, x[:, 1:2] * x[:, 4:5], np.ones((len(x), 1))], 1)
+            sides.append(np.log(q)[inverse])
+        return sides[0], sides[1]
+
+    def difference(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Each row's toxic log-likelihood a byte less its ordinary one; 0 without words.
+
+        An ordinary text's words come from the ordinary chain; of a toxic text's words, RATE are from the
+        toxic chain and the others ordinary.
+        """
+        rows = len(at) - 1
+        grams, word, row = running(data, at)
+        if not len(grams):
+            return np.zeros(rows)
+        ordinary, toxic = (np.bincount(word, x, len(row)) for x in self.log_likelihoods(grams))
+        mixed = np.logaddexp(np.log1p(-RATE) + ordinary, np.log(RATE) + toxic)
+        size = np.bincount(row, np.bincount(word, minlength=len(row)), rows)
+        return np.bincount(row, mixed - ordinary, rows) / np.maximum(size, 1)
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z = self.inputs(self.differences(data, at)) @ self.weights + self.offset
+        z = self.scale * self.difference(data, at) + self.offset
         return np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 6)
 
 
@@ -132,19 +125,9 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def raw_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    padded, bounds, word, _ = words_of(*joined(texts))
-    keys, owner = grams_of(padded, bounds)
-    grams, inverse = np.unique(keys, return_inverse=True)
-    return grams, np.bincount(inverse, np.bincount(word, minlength=len(bounds) - 1)[owner], len(grams))
-
-
-def fit(texts: list[str], y: np.ndarray) -> Model:
-    """Count n-grams on two thirds of the examples; fit the logistic rule on the rest."""
-    rest = np.arange(len(texts)) % 3 == 2
-    if len(set(y[rest].tolist())) < 2 or len(set(y[~rest].tolist())) < 2:
-        rest = np.zeros(len(texts), bool)
-    tops = [raw_counts([t for t, b, r in zip(texts, y, rest, strict=True) if b == c and not r]) for c in (0, 1)]
+def counted(texts: list[str], y: np.ndarray) -> Model:
+    """Both classes' chains, with the counts of orders under OWN shared."""
+    tops = [np.unique(running(*joined([t for t, b in zip(texts, y, strict=True) if b == c]))[0], return_counts=True) for c in (0, 1)]
     chains: tuple[list, list] = ([], [])
     fours = []
     for chain, (grams, n) in zip(chains, tops, strict=True):
@@ -157,16 +140,27 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     for order in range(OWN - 1, 0, -1):
         grams, n = np.unique(grams & low(order), return_counts=True)
         shared.insert(0, Counts.of(grams, n))
-    model = Model(chains, shared, np.zeros(0), (np.zeros(5), np.ones(5)))
-    used = rest if rest.any() else np.ones(len(texts), bool)
-    x = model.differences(*joined([t for t, r in zip(texts, used, strict=True) if r]))
-    model.scale = (x.mean(0), x.std(0) + 1e-6)
-    x, target = model.inputs(x), y[used].astype(np.float64)
-    model.weights = np.zeros(x.shape[1])
+    return Model(chains, shared)
+
+
+def fit(texts: list[str], y: np.ndarray, folds: int = 3) -> Model:
+    """Count n-grams on all examples; fit scale and offset, a logistic rule on the difference alone, on
+    differences by the counts of the other folds' examples."""
+    fold_of = np.zeros(len(texts), np.int64)
+    for c in (0, 1):
+        fold_of[y == c] = np.arange((y == c).sum()) % folds
+    x = np.zeros(len(texts))
+    for k in range(folds):
+        others = counted([t for t, f in zip(texts, fold_of, strict=True) if f != k], y[fold_of != k])
+        x[fold_of == k] = others.difference(*joined([t for t, f in zip(texts, fold_of, strict=True) if f == k]))
+    model = counted(texts, y)
+    unit = max(x.std(), FLAT)
+    x, target, w = np.stack([x / unit, np.ones(len(x))], 1), y.astype(np.float64), np.zeros(2)
     for _ in range(30):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(x.shape[1])
-        model.weights += np.linalg.solve(h, x.T @ (target - p) - 0.5 * model.weights)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        w += np.linalg.solve(h, x.T @ (target - p) - 0.1 * w)
+    model.scale, model.offset = max(float(w[0]), 0.0) / unit, float(w[1])
     return model
 
 
@@ -180,27 +174,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.0
     model = fit([a for a, _ in sample], y)
-    model.offset = offset
+    model.offset += offset
     return model
 
 
 def score(docs: DataFrame, model: Model | float, text: str = "text", out: str = "score") -> DataFrame:
     """docs with a column out: the probability, 0 to 1, that each whole text is toxic.
 
-    A word's log-likelihood under the toxic chain less that under the ordinary chain is summed over its
-    bytes; a text is judged by the mean difference a byte and by its most toxic words, wherever they stand.
+    Both classes have a Kneser-Ney model of bytes; the toxic one is of texts in which some words are of the
+    toxic chain. A text is judged by the difference of its two log-likelihoods a byte, and by that alone.
     Null and empty texts get the score of no words; texts of any length are scored whole, in pieces of
-    rows of about 8 MB; equal texts get equal scores. Other columns pass through unchanged.
+    rows of about 2 MB; equal texts get equal scores. Other columns pass through unchanged.
     """
     names = [n for n in docs.columns if n != out]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: some tens of MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in slices(batches, text):
+        for part in slices(batches, text, 2 << 20):
             data, at = text_bytes(part.column(names.index(text)))
             value = model.score(data, at) if isinstance(model, Model) else np.full(part.num_rows, model)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], [*names, out])
 
-    rows = docs.select(*(F.col(f"`{n}`") for n in names))
+    rows = docs.select(*(field(n) for n in names))
     return rows.mapInArrow(run, with_field(rows.schema, out, "double"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -219,6 +220,51 @@ def test_network_gradient():
         net.p[k][where] -= 1e-3
 
 
+def plain_kneser_ney(chains, grams):
+    """P of each n-gram's last byte from dictionaries; chains: by order from 1, Counter of n-grams (texts)."""
+    p = dict.fromkeys(grams, 1 / 256)
+    for order, counts in enumerate(chains, 1):
+        once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.75
+        total, kinds = Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        discount_left = min(min(counts.values()), discount)
+        for g in grams:
+            own = g[-order:]
+            share = max(counts[own] - discount, 0) / total[own[:-1]] if own in counts else 0.0
+            p[g] = share + (discount_left * kinds[own[:-1]] / total[own[:-1]] if total[own[:-1]] else 1.0) * p[g]
+    return p
+
+
+def test_kneser_ney_equals_plain_counting(monkeypatch):
+    texts = [prose(800 + k, 30) + (" you fool  of" if k % 3 == 0 else " You all") for k in range(30)]
+    y = np.array([int(k % 3 == 0) for k in range(30)])
+    pad = lambda t: b"\0" * 4 + b" " + b" ".join(t.lower().encode().split()) + b" "
+    grams_of = lambda t: [pad(t)[i - 4 : i + 1] for i in range(5, len(pad(t)))]
+    assert toxicity.ORDER == 5 and toxicity.OWN == 3
+    whole = [Counter(g for t, b in zip(texts, y, strict=True) if b == c for g in grams_of(t)) for c in (0, 1)]
+    chains, threes = [], set()
+    for top in whole:
+        chain = [top]
+        for order in (4, 3):
+            chain.insert(0, Counter(g[-order:] for g in chain[0]))
+        chains.append(chain)
+        threes |= set(chain[0])
+    shared = [Counter(g[-2:] for g in threes)]
+    shared.insert(0, Counter(g[-1:] for g in shared[0]))
+    model = toxicity.counted(texts, y)
+    asked = texts[0] + " unseen words"
+    keys, word, row = toxicity.running(*toxicity.joined([asked]))
+    grams = grams_of(asked)
+    assert len(keys) == len(grams) and (np.bincount(word) == [len(w) + 1 for w in asked.split()]).all() and set(row) == {0}
+    for got, chain in zip(model.log_likelihoods(keys), chains, strict=True):
+        want = plain_kneser_ney([*shared, *chain], grams)
+        assert got == pytest.approx([np.log(want[g]) for g in grams])
+    assert model.difference(*toxicity.joined(["you fool of", "you all", ""]))[0] > 0
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, PATH, 64, 2).collect()
     assert packing.pack(none, PATH, 64, 2).count() == 0
@@ -303,7 +349,6 @@ def test_lm(docs, none):
 def test_lm_base_score_equals_counting(docs):
     """n_tokens, n_known, train_tokens and base_score against plain counting."""
     import re
-    from collections import Counter
 
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
