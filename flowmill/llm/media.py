@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, with_field
+from .common import field, settle, slices, text_bytes, with_field
 
 # WAV format tags, and the IMA ADPCM step and index tables.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 0x11}
@@ -102,15 +103,21 @@ def payload_of(codec: str, align: int, data: bytes) -> bytes:
     return np.frombuffer(data, np.uint8).reshape(-1, align)[:, HEADER:].tobytes() if codec == "adpcm" else data
 
 
+PIECE = 1 << 18  # samples resampled together
+
+
 def resampled(pcm: np.ndarray, source: int, target: int) -> np.ndarray:
     """Linear interpolation in whole numbers, the same on every machine; the last sample is held."""
     if source == target or not len(pcm):
         return pcm
-    at = np.arange(len(pcm) * target // source, dtype=np.int64) * source
-    low = at // target
-    high = np.minimum(low + 1, len(pcm) - 1)
-    part = at - low * target
-    return ((pcm[low].astype(np.int64) * (target - part) + pcm[high] * part) // target).astype(np.int16)
+    out = np.empty(len(pcm) * target // source, np.int16)
+    for first in range(0, len(out), PIECE):
+        at = np.arange(first, min(first + PIECE, len(out)), dtype=np.int64) * source
+        low = at // target
+        high = np.minimum(low + 1, len(pcm) - 1)
+        part = at - low * target
+        out[first : first + PIECE] = (pcm[low].astype(np.int64) * (target - part) + pcm[high] * part) // target
+    return out
 
 
 def decoded(files: list[bytes]) -> list[tuple[str, int, bytes, np.ndarray]]:
@@ -153,7 +160,8 @@ def encode(rows: DataFrame, payload: str, codec: str, out: str = "media", rate:
 def transcode(rows: DataFrame, media: str = "media", rate: int = 16000, out: str = "pcm") -> DataFrame:
     """rows with a column out: 16-bit little-endian PCM of the WAV files in column media, at the given rate.
 
-    A null file gives null; a file that is no WAV of the three codecs raises ValueError.
+    A null file gives null; a file that is no WAV of the three codecs raises ValueError. Files are decoded in
+    slices of about 2 MB, a longer one alone, in some 15 bytes of memory a byte of codes.
     """
     names = [n for n in rows.columns if n != out]
 
@@ -176,34 +184,48 @@ def transcode(rows: DataFrame, media: str = "media", rate: int = 16000, out: str
 
 def padded(text: str, unit: int = UNIT):
     """The text's UTF-8 bytes, with zeros up to a positive multiple of unit; null as empty."""
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    body = F.coalesce(field(text), F.lit("")).cast("binary")
     short = F.greatest(F.lit(unit), F.ceil(F.octet_length(body) / unit) * unit) - F.octet_length(body)
     return F.concat(body, F.expr(f"X'{'00' * unit}'").substr(F.lit(1), short.cast("int")))
 
 
-def features(rows: DataFrame, key: str = "doc_id", media: str = "media", size: str = "n_bytes", rate: int = 16000) -> DataFrame:
-    """Digests of the stored files and of the payloads read back, and a line of features of the resampled PCM."""
+def summary(pcm: np.ndarray) -> str:
+    """Samples, root mean square, peak and changes of sign, added up in pieces."""
+    squares, peak, turns = 0, 0, 0
+    for first in range(0, len(pcm), PIECE):
+        wide = pcm[max(0, first - 1) : first + PIECE].astype(np.int64)  # with the sample before
+        turns += int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
+        wide = wide[min(first, 1) :]
+        squares += int((wide * wide).sum())
+        peak = max(peak, int(np.abs(wide).max()))
+    return f"samples={len(pcm)} rms={math.isqrt(squares // max(1, len(pcm)))} peak={peak} turns={turns} pcm_crc32={zlib.crc32(pcm)}"
+
+
+def features(rows: DataFrame, key: str = "doc_id", media: str = "media", size: str = "n_bytes", pcm: str = "pcm", rate: int = 16000) -> DataFrame:
+    """Digests of the stored files and of the payloads read back from them, and a line of features of their PCM.
+
+    rows: of transcode(), with key and size, which stay. A row without a file has nulls for the rest;
+    repeated rows each get a row; an empty table gives none; other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, media, 2 << 20):
-            files = part.column(1).to_pylist()
-            got = {n: [] for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for stored, (codec, source, payload, wave) in zip(files, decoded(files), strict=True):
-                pcm = resampled(wave, source, rate)
-                wide = pcm.astype(np.int64)
-                turns = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-                level = int(np.sqrt((wide * wide).sum() // max(1, len(wide))))
-                got["payload_bytes"].append(len(payload))
-                got["payload_sha256"].append(sha256(payload).hexdigest())
-                got["tail_crc32"].append(zlib.crc32(payload[-64:]))
-                got["media_bytes"].append(len(stored))
-                got["media_sha256"].append(sha256(stored).hexdigest())
-                got["feature"].append(f"{codec} rate={rate} samples={len(pcm)} rms={level} peak={int(np.abs(wide).max(initial=0))} turns={turns} pcm_crc32={zlib.crc32(pcm.astype('<i2').tobytes())}")
-            kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(v, kinds.get(k, pa.string())) for k, v in got.items())], [key, size, *got])
-
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, {size} long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.select(key, media, size).mapInArrow(run, schema)
+        kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+        for part in slices(batches, "media", 2 << 20):
+            got = []
+            for stored, wave in zip(part.column(1), part.column(3), strict=True):
+                if not stored.is_valid:
+                    got.append((None,) * len(kinds))
+                    continue
+                stored, wave = stored.as_py(), np.frombuffer(wave.as_py(), "<i2")
+                codec, _, align, data = from_wav(stored)
+                payload = payload_of(codec, align, data)
+                got.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), sha256(stored).hexdigest(), f"{codec} rate={rate} {summary(wave)}"))
+            columns = [pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["key", "size", *kinds])
+
+    chosen = rows.select(field(key).alias("key"), field(media).alias("media"), field(size).alias("size"), field(pcm).alias("pcm"))
+    schema = f"key {rows.schema[key].dataType.simpleString()}, size long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return chosen.mapInArrow(run, schema).withColumnsRenamed({"key": key, "size": size})
 
 
 def stored_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -212,6 +234,15 @@ def stored_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     Null texts count as empty and are stored as UNIT zero bytes; repeated rows are stored again; other columns
     are left out.
     """
-    rows = docs.select(F.col(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), padded(text).alias("payload"))
+    rows = docs.select(field(key), F.coalesce(F.octet_length(field(text)), F.lit(0)).cast("long").alias("n_bytes"), padded(text).alias("payload"))
     kind = F.element_at(F.array(*map(F.lit, TAGS)), (F.crc32("payload") % len(TAGS) + 1).cast("int"))
     return encode(rows.withColumn("codec", kind), "payload", "codec").drop("payload")
+
+
+def round_trip(docs: DataFrame, rate: int = 16000) -> DataFrame:
+    """Store each text's bytes as telephony audio, read the stored table, and describe the files and their PCM.
+
+    What is stored are the files; their PCM at rate, which is several times as large, goes on as a column.
+    """
+    stored = settle(stored_documents(docs), "media")
+    return features(transcode(stored, rate=rate), rate=rate)

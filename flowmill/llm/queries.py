@@ -44,7 +44,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.stored_documents(table(spark, sf_dir, "documents")))
+    return media.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

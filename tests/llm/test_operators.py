@@ -370,14 +370,31 @@ def test_counts_above_32_bits_stay_exact():
 
 
 def test_media(docs, none):
-    got = {r.doc_id: r for r in media.features(media.stored_documents(docs)).collect()}
-    assert media.features(media.stored_documents(none)).count() == 0
+    got = {r.doc_id: r for r in media.round_trip(docs).collect()}
+    assert media.round_trip(none).count() == 0
+    waves = {r.doc_id: (r.codec, np.frombuffer(r.pcm, "<i2")) for r in media.transcode(media.stored_documents(docs)).collect()}
     for k, text in TEXTS.items():
         body = (text or "").encode()
         body += bytes(max(64, -(-len(body) // 64) * 64) - len(body))
         r = got[k]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]))
-    assert media.transcode(media.stored_documents(docs)).count() == 14
+        codec, wave = waves[k]
+        plain = media.TABLES[codec][np.frombuffer(body, np.uint8)] if codec != "adpcm" else None
+        if plain is not None:  # at 16 from 8 kHz each second sample is one of the file's, the others lie halfway
+            assert (wave[::2] == plain).all() and (wave[1::2] == np.floor((plain.astype(int) + np.r_[plain[1:], plain[-1]]) / 2)).all()
+        wide = wave.astype(int)
+        turns = sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:], strict=False))
+        assert r.feature == f"{codec} rate=16000 samples={len(wave)} rms={int((wide**2).mean() ** 0.5)} peak={abs(wide).max()} turns={turns} pcm_crc32={zlib.crc32(wave.tobytes())}"
+
+
+def test_media_of_null_files_and_in_pieces(spark, monkeypatch):
+    wave = np.random.default_rng(0).integers(-32768, 32768, 5000).astype(np.int16)
+    whole = media.resampled(wave, 8000, 12000), media.summary(wave)
+    monkeypatch.setattr(media, "PIECE", 7)
+    assert (media.resampled(wave, 8000, 12000) == whole[0]).all() and media.summary(wave) == whole[1]
+    rows = spark.createDataFrame([(1, 5, bytearray(media.to_wav("alaw", b"hello"))), (2, None, None)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.features(media.transcode(rows)).collect()}
+    assert got[1].payload_bytes == 5 and got[2].media_bytes is None and got[2].feature is None
 
 
 def test_companding_tables():
