@@ -67,7 +67,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BITS = [f"CAST(('0x' || substr(h, {5 * k + 1}, 5)) AS BIGINT) >> {s} & 31" for k in range(8) for s in (15, 10, 5, 0)]
 _BASE32 = " || ".join(f"substr('{warc.BASE32}', CAST(({b}) AS INTEGER) + 1, 1)" for b in _BITS)
 
+# crc32 by bytes: a table of the reflected polynomial's remainders, then one step a byte
+_CRC_STEP = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+
 ORACLES: dict[str, str] = {
+    "op2_sharding": f"""
+        WITH step AS (SELECT {_CRC_STEP} AS rest),
+        sized AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size,
+          CAST(xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, x: xor(c >> 8, step.rest[(xor(c, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32
+          FROM documents, step),
+        placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS reached, sum(size) OVER () AS whole FROM sized),
+        dealt AS (SELECT *, CAST(least(23, (reached - size // 2 - 1) * 24 // whole) AS INTEGER) AS shard FROM placed)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM dealt""",
     "op9_warc": f"""
         WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
         grouped AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS original FROM hashed)
