@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import ipaddress
 import operator
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,15 +19,16 @@ _OPS = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt,
 
 
 def number(value: str | int | float) -> int | float:
-    """1.5k -> 1500; hexadecimal with 0x; anything else as it is."""
+    """1.5k -> 1500, in decimal; hexadecimal with 0x; a C suffix (u, l) means nothing; anything else as it is."""
     if not isinstance(value, str):
         return value
     low = value.strip().lower()
     if low.startswith("0x"):
         return int(low, 16)
+    low = low.rstrip("ul") or low
     scale = SUFFIXES.get(low[-1], 1)
-    out = float(low[:-1] if scale > 1 else low) * scale
-    return int(out) if out == int(out) else out
+    out = Decimal(low[:-1] if scale > 1 else low) * scale
+    return int(out) if out == int(out) else float(out)
 
 
 def _members(name: str) -> tuple[str, ...]:
@@ -67,7 +69,7 @@ def all_flags(letters: str, name: str = "flg") -> Column:
 
 def text(column: str, how: str, value: str) -> Column:
     """how: contains, is, starts, ends, matches (regular expression), or not."""
-    c = F.col(column)
+    c = F.col(element(column))
     got = {"contains": c.contains(value), "is": c == value, "starts": c.startswith(value), "ends": c.endswith(value), "matches": c.rlike(value), "not": c != value}[how]
     return F.coalesce(got, F.lit(how == "not"))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.sources.flows import element
 
-FIVE_TUPLE = ("sa4", "da4", "sa6", "da6", "sp", "dp", "pr")
+FIVE_TUPLE = ("sa4", "da4", "sa6", "da6", "sp", "dp", "pr")  # the keys of an aggregation without named ones
 DEFAULTS = {"e0id152": F.min, "e0id153": F.max, "e0id1": F.sum, "e0id2": F.sum}
 
 
@@ -35,9 +35,15 @@ def with_rates(aggregated: DataFrame) -> DataFrame:
 
 
 def top_n(flows: DataFrame, key: str, order: str = "flows", n: int = 10) -> DataFrame:
-    """The n largest groups, ties by key, with their share of all in per cent; the totals are of all groups."""
-    groups = aggregate(flows, (key,))
+    """The n largest groups, ties by key, with their share of all in per cent; the totals are of all groups.
+
+    Groups and totals come of one scan and one shuffle: the total is a rollup's, the first of the n + 1 best rows.
+    """
     key, order = element(key), element(order)
-    total = groups.agg(F.sum(order).alias("__all"))  # one row
-    best = groups.orderBy(F.desc(order), F.asc(key)).limit(n)
-    return best.join(F.broadcast(total)).withColumn("percent", F.round(100.0 * F.col(order) / F.col("__all"), 1)).drop("__all")
+    kept = flows.filter(F.col(key).isNotNull())
+    for v in DEFAULTS:
+        kept = kept.filter(F.col(v).isNotNull())
+    rolled = kept.rollup(key).agg(*(f(v).alias(v) for v, f in DEFAULTS.items()), F.count("*").alias("flows"), F.grouping(key).alias("__whole"))
+    best = rolled.orderBy(F.desc("__whole"), F.desc(order), F.asc(key)).limit(n + 1)
+    whole = F.max(F.when(F.col("__whole") == 1, F.col(order))).over(Window.partitionBy(F.lit(1)))  # n + 1 rows
+    return best.withColumn("percent", F.round(100.0 * F.col(order) / whole, 1)).filter("__whole = 0").drop("__whole")

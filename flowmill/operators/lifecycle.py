@@ -14,11 +14,24 @@ def write_flows(flows: DataFrame, path: str, by: tuple[str, ...] = ("odid", "win
     writer.parquet(path)
 
 
-def compact(spark: SparkSession, source: str, target: str, step: int) -> None:
+def compact(spark: SparkSession, source: str, target: str, step: int, by: tuple[str, ...] = ("odid", "window_start")) -> None:
     """Rewrite a table in windows of step milliseconds, each in as few files as its size asks for."""
     rows = spark.read.parquet(source)
     coarse = rows.withColumn("window_start", (F.col("window_start") - F.pmod("window_start", F.lit(step))).cast("long"))
-    coarse.hint("rebalance", "odid", "window_start").write.partitionBy("odid", "window_start").parquet(target)
+    coarse.hint("rebalance", *by).write.partitionBy(*by).parquet(target)
+
+
+def between(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The flows of the windows from first to last, both included: only their folders are listed and read."""
+    return spark.read.parquet(path).filter(F.col("window_start").between(first, last))
+
+
+def several(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Flows of several tables, wherever they are; elements that one lacks are null."""
+    out = spark.read.parquet(paths[0])
+    for path in paths[1:]:
+        out = out.unionByName(spark.read.parquet(path), allowMissingColumns=True)
+    return out
 
 
 def expired(folders: DataFrame, most: int, key: str = "window_start", size: str = "bytes") -> DataFrame:

@@ -71,8 +71,8 @@ def labels(profile: Profile, path: str = "", parents: dict[str, Column] | None =
         met = F.lit(True) if c.predicate is None else c.predicate
         if parents is not None:
             used = [p for n, p in parents.items() if "*" in c.sources or n in c.sources]
-            passed = used[0]
-            for p in used[1:]:
+            passed = F.lit(False)  # a parent without channels lets nothing through
+            for p in used:
                 passed = passed | p
             met = met & passed
         own[c.name] = met

@@ -38,11 +38,27 @@ def consolidate(series: DataFrame, keys: tuple[str, ...], value: str, step: int,
     return series.groupBy(*keys, window_start(F.col("window_start"), step * times).alias("window_start")).agg(F.avg(value).alias(f"{value}_avg"), F.max(value).alias(f"{value}_max"))
 
 
-def losses(messages: DataFrame, source: str, sequence: str, records: str, order: str) -> DataFrame:
+def losses(messages: DataFrame, source: str, sequence: str, records: str, order: str, step: int = 1 << 20) -> DataFrame:
     """For each source the records received and those its sequence numbers (of 32 bits, wrapping) say were sent
-    between the first message and the last, with the gaps between neighbours."""
-    w = Window.partitionBy(source).orderBy(order)
-    due = F.lag(F.col(sequence) + F.col(records)).over(w)
-    gap = F.pmod(F.col(sequence) - due, F.lit(1 << 32))
-    gap = F.when(gap < 1 << 31, gap).otherwise(F.lit(0))  # a step back is a message out of order
-    return messages.withColumn("__gap", F.coalesce(gap, F.lit(0))).groupBy(source).agg(F.sum(records).alias("received"), F.sum("__gap").alias("lost"))
+    between the first message and the last, with the gaps between neighbours.
+
+    Neighbours are found within slices of `step` of the order, and then between a slice's last message and the
+    next slice's first: one row a slice, so a busy source is many groups.
+    """
+
+    def gap(due: Column) -> Column:
+        missing = F.pmod(F.col(sequence) - due, F.lit(1 << 32))
+        return F.coalesce(F.when(missing < 1 << 31, missing).otherwise(0), F.lit(0))  # a step back is a message out of order
+
+    sliced = messages.withColumn("__slice", F.floor(F.col(order) / step)).withColumn("__due", F.col(sequence) + F.col(records))
+    within = Window.partitionBy(source, "__slice").orderBy(order)
+    sliced = sliced.withColumn("__gap", gap(F.lag("__due").over(within)))
+    each = sliced.groupBy(source, "__slice").agg(F.sum(records).alias("received"), F.sum("__gap").alias("lost"), F.min_by(sequence, order).alias(sequence), F.max_by("__due", order).alias("__due"))
+    between = Window.partitionBy(source).orderBy("__slice")
+    each = each.withColumn("__gap", gap(F.lag("__due").over(between)))
+    return each.groupBy(source).agg(F.sum("received").alias("received"), F.sum(F.col("lost") + F.col("__gap")).alias("lost"))
+
+
+def merged(parts: DataFrame, keys: tuple[str, ...] = ("odid", "window_start")) -> DataFrame:
+    """Statistics of several tables as one: every counter added up by its keys."""
+    return parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in parts.columns if c not in keys))

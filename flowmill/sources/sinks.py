@@ -5,35 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.functions.scalars import PROTOCOLS, flags_text, ipv4_text, named, seconds_text, timestamp_text
+from flowmill.functions.scalars import PROTOCOLS, flags_text, ipv4_text, named, window_start
 
-FORMATTERS = {"ts": timestamp_text, "te": timestamp_text, "sa4": ipv4_text, "da4": ipv4_text, "pr": lambda c: named(c, PROTOCOLS), "flg": flags_text}
-ABSENT = {"flg": "......", "sp": "0", "dp": "0"}
+def json_records(flows: DataFrame, prefix: str = "ipfix.", formatted: bool = True, odid: bool = False, times: bool = False, keep: dict[str, Column] | None = None) -> DataFrame:
+    """An object for each record: its present elements. formatted: protocol and flags by name, times as text, else
+    numbers; odid and times add the domain and the start and end. keep: columns beside the object."""
+    text = lambda c, shown: shown(c) if formatted else c
+    shown = {"sourceIPv4Address": ipv4_text(F.col("e0id8")), "destinationIPv4Address": ipv4_text(F.col("e0id12")), "protocolIdentifier": text(F.col("e0id4"), lambda c: named(c, PROTOCOLS)), "tcpControlBits": text(F.col("e0id6"), flags_text), "octetDeltaCount": F.col("e0id1"), "packetDeltaCount": F.col("e0id2")}
+    if times:
+        shown |= {n: text(F.col(c), lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS")) for n, c in (("flowStartMilliseconds", "e0id152"), ("flowEndMilliseconds", "e0id153"))}
+    more = [F.col("odid").alias(f"{prefix}odid")] if odid else []
+    return flows.select(*(c.alias(n) for n, c in (keep or {}).items()), F.to_json(F.struct(F.lit("ipfix.entry").alias("@type"), *more, *(c.alias(f"{prefix}{n}") for n, c in shown.items()))).alias("json"))
 
 
-def line(fields: list[tuple[str, Column]], separator: str) -> Column:
-    """One line of a record: each alias formatted, absent elements by their default text."""
-    shown = [F.coalesce(FORMATTERS.get(n, lambda c: c.cast("string"))(c), F.lit(ABSENT.get(n, "NULL"))) for n, c in fields]
-    return F.concat_ws(separator, *shown)
-
-
-def csv_lines(flows: DataFrame, separator: str = ",") -> DataFrame:
-    c = F.col
-    td = seconds_text(c("e0id153") - c("e0id152"))
-    fields = [("ts", c("e0id152")), ("td", td), ("pr", c("e0id4")), ("sa4", c("e0id8")), ("sp", c("e0id7")), ("da4", c("e0id12")), ("dp", c("e0id11")), ("pkt", c("e0id2")), ("byt", c("e0id1")), ("fl", F.lit(1))]
-    return flows.select(line(fields, separator).alias("line"))
-
-
-def json_records(flows: DataFrame, prefix: str = "ipfix.") -> DataFrame:
-    """An object for each record: its present elements, with addresses, flags and times as text."""
-    shown = {"sourceIPv4Address": ipv4_text(F.col("e0id8")), "destinationIPv4Address": ipv4_text(F.col("e0id12")), "protocolIdentifier": named(F.col("e0id4"), PROTOCOLS), "tcpControlBits": flags_text(F.col("e0id6")), "octetDeltaCount": F.col("e0id1"), "packetDeltaCount": F.col("e0id2")}
-    return flows.select(F.to_json(F.struct(F.lit("ipfix.entry").alias("@type"), *(c.alias(f"{prefix}{n}") for n, c in shown.items()))).alias("json"))
+def write_json_windows(flows: DataFrame, path: str, step: int = 300_000, time: str = "e0id153", **options) -> None:
+    """Text files of a JSON object a line, in a folder for each window of step milliseconds, named by its beginning."""
+    stamp = F.date_format(F.timestamp_millis(window_start(F.col(time), step)), "yyyyMMddHHmm")
+    json_records(flows, keep={"window": stamp}, **options).repartition("window").write.partitionBy("window").text(path)
 
 
 def unirec(flows: DataFrame) -> DataFrame:
     """One 16-byte address field for either version, IPv4 in its last 4 bytes, and the domain as a bit."""
-    wide = lambda v4, v6: F.coalesce(F.lpad(F.hex(F.col(v4)), 32, "0"), F.hex(F.col(v6))) if v6 else F.lpad(F.hex(F.col(v4)), 32, "0")
-    return flows.select(wide("e0id8", "e0id27").alias("SRC_IP"), wide("e0id12", None).alias("DST_IP"), F.col("e0id7").alias("SRC_PORT"), F.col("e0id11").alias("DST_PORT"), F.col("e0id4").alias("PROTOCOL"), F.col("e0id6").alias("TCP_FLAGS"), F.col("e0id1").alias("BYTES"), F.col("e0id2").alias("PACKETS"), F.expr("shiftleft(1L, cast(greatest(odid - 1, 0) as int))").alias("LINK_BIT_FIELD"))
+    wide = lambda v4, v6: F.coalesce(F.lpad(F.hex(F.col(v4)), 32, "0"), F.hex(F.col(v6)))
+    return flows.select(wide("e0id8", "e0id27").alias("SRC_IP"), wide("e0id12", "e0id28").alias("DST_IP"), F.col("e0id7").alias("SRC_PORT"), F.col("e0id11").alias("DST_PORT"), F.col("e0id4").alias("PROTOCOL"), F.col("e0id6").alias("TCP_FLAGS"), F.col("e0id1").alias("BYTES"), F.col("e0id2").alias("PACKETS"), F.expr("shiftleft(1L, cast(greatest(odid - 1, 0) as int))").alias("LINK_BIT_FIELD"))
 
 
 def storable(flows: DataFrame) -> DataFrame:
