@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,25 +11,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowmill.sources.folders import new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set (tests), a folder of this run."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="flowmill-")
-        context.setCheckpointDir(found)
-    return found
+BATCH_KEY, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(), with batches of BATCH bytes unless the session asks for other ones: a batch is held
+    whole by the executor and by its worker, and 10,000 long texts would be much."""
+    if df.sparkSession.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        df.sparkSession.conf.set(BATCH_KEY, BATCH)
+    names = df.columns
+    if not any("." in n for n in names):
+        return df.mapInArrow(run, schema)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(named, schema)  # mapInArrow() can't take names with dots
 
 
 def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path

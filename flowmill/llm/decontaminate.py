@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, field, ranges, slices, text_bytes
+from .common import LOWER, SPACE, field, mapped, ranges, slices, text_bytes
 
 Q = 8  # bytes of a q-gram at most: one 64-bit word
 BITS = 20
@@ -229,7 +229,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, key: str =
                     yield pa.RecordBatch.from_arrays([keys, items, *(pa.array([f[k] for f in found], t) for k, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.int32())))], ["key", "item_id", "start", "end", "edits"])
 
         schema_types = (None, pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string())
-        part = rows.mapInArrow(run, schema.replace(f"`{key}`", "key", 1)).withColumnRenamed("key", key)
+        part = mapped(rows, run, schema.replace(f"`{key}`", "key", 1)).withColumnRenamed("key", key)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -252,5 +252,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text: str =
                 kept[[f[0] for f in shared.value.verify(data, at, *shared.value.regions(data, at))]] = False
                 yield part.filter(pa.array(kept))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, mix, partitions, settle, slices, text_bytes, token_hashes, tokens
+from .common import LOWER, fold, mapped, mix, partitions, settle, slices, text_bytes, token_hashes, tokens
 
 SIZE = 8 << 20  # bytes of text in a block
 END = np.uint64(0x5851F42D4C957F2C)  # the token that ends a text, and the context of its first word
@@ -81,7 +81,7 @@ def blocks(docs: DataFrame, parts: int, held: int, key: str, text: str) -> DataF
         if held:
             yield whole()
 
-    return rows.mapInArrow(run, f"block long, ids array<{kind}>, folds array<int>, sizes array<long>, body binary")
+    return mapped(rows, run, f"block long, ids array<{kind}>, folds array<int>, sizes array<long>, body binary")
 
 
 def opened(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def counted(stored: DataFrame) -> DataFrame:
         columns = [[counts_blob(x[a]) for a in answers] for x in (kept, deleted)]
         return pa.table([pa.array([part] * (len(answers) + 1), pa.int32()), pa.array([*group.column("block").to_pylist(), -1], pa.int64()), pa.array([*columns[0], totals], pa.binary()), pa.array([*columns[1], b""], pa.binary())], ["part", "block", "kept", "deleted"])
 
-    sent = stored.mapInArrow(ask, "part int, block long, keys binary, kept binary, deleted binary")
+    sent = mapped(stored, ask, "part int, block long, keys binary, kept binary, deleted binary")
     return settle(sent.groupBy("part").applyInArrow(add, "part int, block long, kept binary, deleted binary"), "lm-counts")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, settle, slices, text_bytes, with_field
+from .common import field, mapped, settle, slices, text_bytes, with_field
 
 # WAV format tags, and the IMA ADPCM step and index tables.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 0x11}
@@ -154,7 +154,7 @@ def encode(rows: DataFrame, payload: str, codec: str, out: str = "media", rate:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(files, pa.binary())], [*names, out])
 
     rows = rows.select(*(F.col(f"`{n}`") for n in names))
-    return rows.mapInArrow(run, with_field(rows.schema, out, "binary"))
+    return mapped(rows, run, with_field(rows.schema, out, "binary"))
 
 
 def transcode(rows: DataFrame, media: str = "media", rate: int = 16000, out: str = "pcm") -> DataFrame:
@@ -179,7 +179,7 @@ def transcode(rows: DataFrame, media: str = "media", rate: int = 16000, out: str
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pcm, pa.binary())], [*names, out])
 
     rows = rows.select(*(F.col(f"`{n}`") for n in names))
-    return rows.mapInArrow(run, with_field(rows.schema, out, "binary"))
+    return mapped(rows, run, with_field(rows.schema, out, "binary"))
 
 
 def padded(text: str, unit: int = UNIT):
@@ -225,7 +225,7 @@ def features(rows: DataFrame, key: str = "doc_id", media: str = "media", size: s
 
     chosen = rows.select(field(key).alias("key"), field(media).alias("media"), field(size).alias("size"), field(pcm).alias("pcm"))
     schema = f"key {rows.schema[key].dataType.simpleString()}, size long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return chosen.mapInArrow(run, schema).withColumnsRenamed({"key": key, "size": size})
+    return mapped(chosen, run, schema).withColumnsRenamed({"key": key, "size": size})
 
 
 def stored_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, free_names, mix, release, settle, slices, text_bytes, token_hashes, tokens
+from .common import field, free_names, mapped, mix, release, settle, slices, text_bytes, token_hashes, tokens
 
 WORDS = 5
 BUCKETS = 1 << 20  # of shingle counts: 8 MB, however large the corpus
@@ -69,7 +69,7 @@ def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
         return pa.table([group.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
     out = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
-    sent = docs.select(field(text).alias("text")).mapInArrow(count, "block int, counts binary")
+    sent = mapped(docs.select(field(text).alias("text")), count, "block int, counts binary")
     for r in sent.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
         out[r.block] = np.frombuffer(r.counts, np.int64)
     return out.reshape(-1)
@@ -154,7 +154,7 @@ def sketches(docs: DataFrame, idf: Broadcast, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, total], ["id", "digest", "bands", "total"])
 
     rows = docs.select(field(key).cast("long").alias("id"), digest(text).alias("digest"), field(text).alias("text"))
-    return rows.mapInArrow(run, "id long, digest binary, bands array<long>, total double")
+    return mapped(rows, run, "id long, digest binary, bands array<long>, total double")
 
 
 def packed(h: np.ndarray) -> bytes:
@@ -183,7 +183,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
             both = [(packed(h[a:b]), n[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["id", "h", "n"])
 
-    return rows.mapInArrow(run, "id long, h binary, n binary").dropDuplicates(["id"])
+    return mapped(rows, run, "id long, h binary, n binary").dropDuplicates(["id"])
 
 
 def weighted_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -209,7 +209,7 @@ def verified(pairs: DataFrame, sets: DataFrame, idf: Broadcast, least: float) ->
             value = np.array([weighted_jaccard(*read(part, k, 2), *read(part, k, 4)) for k in range(part.num_rows)])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(value >= least, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return mapped(both, run, "a long, b long")
 
 
 def common_weight(rows: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
@@ -223,7 +223,7 @@ def common_weight(rows: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame
             w = weights(flat, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in part.column(2)]), idf.value)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), size)), pa.array(flat.view(np.int64)), pa.array(w)], ["id", "h", "w"])
 
-    each = sets.join(rows.select("id"), "id", "left_semi").select("id", "h", "n").mapInArrow(spread, "id long, h long, w float")
+    each = mapped(sets.join(rows.select("id"), "id", "left_semi").select("id", "h", "n"), spread, "id long, h long, w float")
     alone = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("w").alias("w")).filter("id = last")
     own = alone.groupBy("id").agg(F.sum("w").alias("own"))
     return rows.join(own, "id", "left").withColumn("common", F.col("total") - F.coalesce("own", F.lit(0.0))).drop("own")

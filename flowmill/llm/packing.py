@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranges, settle, slices, text_bytes
+from .common import mapped, ranges, settle, slices, text_bytes
 
 Group = tuple[list[tuple[int, int]], int]  # the sizes in a sequence, with how many of each; and how many such sequences
 
@@ -194,7 +194,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end: int, key: str = "d
             )
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n long, crc array<long>, size int, part int, nth long, full_before long")
+    return mapped(rows, run, f"key {docs.schema[key].dataType.simpleString()}, n long, crc array<long>, size int, part int, nth long, full_before long")
 
 
 def reduce_by_dominance(count: np.ndarray, capacity: int) -> list[Group]:
@@ -344,4 +344,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, key: st
                 [key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(ranked, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, text_bytes, with_field
+from .common import fold, mapped, slices, text_bytes, with_field
 
 BLOCK, STRIDE, WIDTH = 512, 4, 8  # a filter sees 8 bytes, moves by 4; a chunk is two neighbouring blocks
 
@@ -197,4 +197,4 @@ def score(docs: DataFrame, model: Net | float, text: str = "text", out: str = "s
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], [*names, out])
 
     rows = docs.select(*(F.col(f"`{n}`") for n in names))
-    return rows.mapInArrow(run, with_field(rows.schema, out, "double"))
+    return mapped(rows, run, with_field(rows.schema, out, "double"))

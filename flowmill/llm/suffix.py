@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _CODES, field, free_names, mix, partitions, ranges, settle, slices, text_bytes, with_field
+from .common import _CODES, field, free_names, mapped, mix, partitions, ranges, settle, slices, text_bytes, with_field
 
 GRAM = 32  # bytes of an anchor
 NULL = -(1 << 63)  # stands for a null id: the smallest
@@ -268,7 +268,7 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
             a, n = tallied(a[distinct(a, sums.of(lo, hi))], int(sums.sums[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["a", "n"])
 
-    tally = settle(rows.mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT), "suffix-hot")
+    tally = settle(mapped(rows, count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT), "suffix-hot")
     least = HOT
     while tally.filter(F.col("n") >= least).count() > MOST:
         least *= 4
@@ -315,7 +315,7 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
         whole = pa.concat_tables([t.select(["id", "h", "lo", "hi"]).cast(asked.select(["id", "h", "lo", "hi"]).schema).append_column("a", pa.nulls(t.num_rows, pa.int64())) for t in (passed, found)] + [asked])
         return whole
 
-    sent = rows.mapInArrow(emit, f"part int, blob binary, {SPANS}")
+    sent = mapped(rows, emit, f"part int, blob binary, {SPANS}")
     first = settle(sent.groupBy("part").applyInArrow(reduce, f"{SPANS}, a long"), "suffix-contexts")
     asked = first.filter("a IS NOT NULL").groupBy("id", "h").agg(F.collect_list(F.struct(F.col("lo")[0].alias("lo"), F.col("hi")[0].alias("hi"), "a")).alias("asked"))
 
@@ -358,7 +358,7 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
         doc, place = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table(span_rows(ids[doc], h[doc], place, place + length), ["id", "h", "lo", "hi"])
 
-    fetched = rows.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(fetch, "part int, blob binary, body binary")
+    fetched = mapped(rows.join(asked, ["id", "h"]).select("id", "h", "text", "asked"), fetch, "part int, blob binary, body binary")
     return first.filter("a IS NULL").drop("a").unionByName(fetched.groupBy("part").applyInArrow(sort, SPANS))
 
 
@@ -389,6 +389,27 @@ def batch_of(part: int, blob: bytes | None, spans: list[pa.Array] | None, parts:
         yield pa.RecordBatch.from_arrays([pa.array(where), pa.nulls(len(spans[0]), pa.binary()), *spans], ["part", "blob", "id", "h", "lo", "hi"])
 
 
+def covered(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
+    """docs with two more columns, the last ones: where the repeated spans of each text begin and where they end."""
+    idn, hn, lon, hin = free_names(docs, "id", "h", "lo", "hi")
+    marked = docs.withColumn(idn, F.coalesce(field(key).cast("long"), F.lit(NULL))).withColumn(hn, F.pmod(F.hash(field(text)), F.lit(1 << 15)).cast("int"))
+    spans = repeats(docs, length, key, text).groupBy(F.col("id").alias(idn), F.col("h").alias(hn)).agg(F.flatten(F.collect_list("lo")).alias(lon), F.flatten(F.collect_list("hi")).alias(hin))
+    return marked.join(spans, [idn, hn], "left").select(*(field(n) for n in docs.columns), lon, hin)
+
+
+def bytes_left(part: pa.RecordBatch, column: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """What is left of each text of a batch of covered(); the texts' bytes, the bytes removed and the spans."""
+    data, at = text_bytes(part.column(column))
+    lo, hi = part.column(part.num_columns - 2), part.column(part.num_columns - 1)
+    count = pc.fill_null(pc.list_value_length(lo), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(part.num_rows), count)
+    doc, lo, hi = merged(doc, *(x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (lo, hi)))
+    keep = np.ones(len(data), bool)
+    keep[ranges(at[doc] + lo, hi - lo)] = False
+    removed, spans = np.bincount(doc, hi - lo, part.num_rows).astype(np.int64), np.bincount(doc, minlength=part.num_rows).astype(np.int64)
+    return [data[at[k] : at[k + 1]][keep[at[k] : at[k + 1]]].tobytes() for k in range(part.num_rows)], np.diff(at), removed, spans
+
+
 def cut(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the columns kept (bytes left of the text), n_bytes, n_removed and n_spans.
 
@@ -396,33 +417,21 @@ def cut(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "te
     smaller key, or earlier in the same one; strings are judged on the texts as they came. Null texts count
     as empty. Rows of equal key and text are one document and get the same result; rows of equal key and
     different texts are different documents, in the order of a hash of the text; a null key is the smallest.
-    Texts under `length` bytes, however often they occur, stay; an empty table gives no rows.
+    Texts under `length` bytes, however often they occur, stay; an empty table gives no rows. Columns of the
+    new names are replaced; with_kept_text() adds none.
     """
-    names = docs.columns
-    idn, hn, lon, hin = free_names(docs, "id", "h", "lo", "hi")
-    marked = docs.withColumn(idn, F.coalesce(field(key).cast("long"), F.lit(NULL))).withColumn(hn, F.pmod(F.hash(field(text)), F.lit(1 << 15)).cast("int"))
-    spans = repeats(docs, length, key, text).groupBy(F.col("id").alias(idn), F.col("h").alias(hn)).agg(F.flatten(F.collect_list("lo")).alias(lon), F.flatten(F.collect_list("hi")).alias(hin))
-    both = marked.join(spans, [idn, hn], "left").select(*(field(n) for n in names), lon, hin)
-    own = [n for n in names if n not in ("kept", "n_bytes", "n_removed", "n_spans")]
+    names, added = docs.columns, ("kept", "n_bytes", "n_removed", "n_spans")
+    own = [n for n in names if n not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            data, at = text_bytes(part.column(names.index(text)))
-            lo, hi = part.column(len(names)), part.column(len(names) + 1)
-            count = pc.fill_null(pc.list_value_length(lo), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(part.num_rows), count)
-            doc, lo, hi = merged(doc, *(x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (lo, hi)))
-            keep = np.ones(len(data), bool)
-            keep[ranges(at[doc] + lo, hi - lo)] = False
-            removed, spans = np.bincount(doc, hi - lo, part.num_rows).astype(np.int64), np.bincount(doc, minlength=part.num_rows)
-            kept = [data[at[k] : at[k + 1]][keep[at[k] : at[k + 1]]].tobytes() for k in range(part.num_rows)]
-            columns = [part.column(names.index(n)) for n in own]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(np.diff(at)), pa.array(removed), pa.array(spans.astype(np.int64))], [*own, "kept", "n_bytes", "n_removed", "n_spans"])
+            kept, *numbers = bytes_left(part, names.index(text))
+            yield pa.RecordBatch.from_arrays([*(part.column(names.index(n)) for n in own), pa.array(kept, pa.binary()), *map(pa.array, numbers)], [*own, *added])
 
     schema = docs.select(*(field(n) for n in own)).schema
-    for n, kind in (("kept", "binary"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint")):
+    for n, kind in zip(added, ("binary", "bigint", "bigint", "bigint"), strict=True):
         schema = with_field(schema, n, kind)
-    return both.mapInArrow(run, schema)
+    return mapped(covered(docs, length, key, text), run, schema)
 
 
 def kept_digest(kept: DataFrame) -> DataFrame:
@@ -439,19 +448,17 @@ def with_kept_text(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     """
     names = docs.columns
     at, sized = names.index(text), size in names
-    numbered = [f"c{k}" for k in range(len(names))]  # no names of the input's beside those that cut() adds
-    whole = cut(docs.toDF(*numbered).withColumn("null", F.col(f"c{at}").isNull()), length, f"c{names.index(key)}", f"c{at}")
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(names))))  # whatever the names are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            of = lambda n: part.column(part.schema.get_field_index(n))  # noqa: B023, E731
-            texts = [b.decode("utf-8", "ignore") for b in of("kept").to_pylist()]
-            null, removed = of("null").to_pylist(), of("n_removed").to_pylist()
-            columns = [of(n) for n in numbered]
+        for part in slices(batches, f"c{at}"):
+            kept, _, removed, _ = bytes_left(part, at)
+            texts, null = [b.decode("utf-8", "ignore") for b in kept], part.column(at).is_null().to_pylist()
+            columns = part.columns[: len(names)]
             columns[at] = pa.array([None if z else t for t, z in zip(texts, null, strict=True)], pa.string())
             if sized:
                 old = columns[names.index(size)]
                 columns[names.index(size)] = pa.array([len(t) if r else o for t, r, o in zip(texts, removed, old.to_pylist(), strict=True)], old.type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([bool(t) or not r for t, r in zip(texts, removed, strict=True)], pa.bool_()))
 
-    return whole.mapInArrow(run, docs.schema)
+    return mapped(covered(numbered, length, f"c{names.index(key)}", f"c{at}"), run, docs.schema)

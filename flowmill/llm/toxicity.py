@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, field, fold, ranges, slices, text_bytes, tokens, with_field
+from .common import LOWER, field, fold, mapped, ranges, slices, text_bytes, tokens, with_field
 from .quality import labelled_sample
 
 ORDER, OWN = 5, 3  # n-grams of up to ORDER bytes, across words; orders from OWN up are counted for each class
@@ -197,4 +197,4 @@ def score(docs: DataFrame, model: Model | float, text: str = "text", out: str =
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], [*names, out])
 
     rows = docs.select(*(field(n) for n in names))
-    return rows.mapInArrow(run, with_field(rows.schema, out, "double"))
+    return mapped(rows, run, with_field(rows.schema, out, "double"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir
+from flowmill.sources.folders import new_folder
+
+from .common import field, mapped, settle
 
 MAGIC, END = b"WARC/1.", b"\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 SMALL = 100_000  # digests that may be broadcast: 60 bytes each
+FILE = 128 << 20  # bytes of records in a file, unless one record alone is larger
 
 
 def base32_sha1(column: Column) -> Column:
@@ -35,10 +38,13 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     Of the rows with equal payloads of at least `least` bytes, those with the largest key are responses and
     the others revisit it; smaller payloads are always responses. Null payloads count as empty; rows
     with a null key are responses if no equal payload has a key, else revisits; line ends in a URL are
-    percent-encoded. A file holds at most `records` records.
+    percent-encoded. A file holds at most `records` records, and fewer where the largest payload is so large
+    that they might come to more than FILE bytes; repeated rows are records of their own.
     """
-    body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(key).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"), F.octet_length(body).alias("size"), base32_sha1(body.cast("binary")).alias("digest"))
+    body = F.coalesce(field(payload), F.lit(""))
+    rows = pages.select(field(key).alias("id"), F.coalesce(field(url), F.lit("")).alias("url"), body.alias("body"), F.octet_length(body).alias("size"), base32_sha1(body.cast("binary")).alias("digest"))
+    largest = rows.agg(F.max("size")).first()[0] or 0
+    records = max(1, min(records, FILE // (largest + 1024)))
     copies = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = settle(copies, "warc-copies")
     if copies.count() <= SMALL:
@@ -63,10 +69,12 @@ COLUMNS = "record_id string, record_type string, refers_to string, payload_bytes
 
 def candidates(data: bytes) -> Iterator[tuple]:
     """Each place where a record might begin, true or within a payload: its successor's place and its fields."""
-    at = data.find(MAGIC)
+    at, head = data.find(MAGIC), -1
     while at >= 0:
-        head = data.find(END, at)
-        if head >= 0:
+        if head < at:
+            head = data.find(END, at)
+            head = len(data) if head < 0 else head
+        if head < len(data):
             fields = {k.lower(): v for k, v in FIELD.findall(data[at:head])}
             size = fields.get(b"content-length", b"")
             stop = head + len(END) + int(size) if size.isdigit() and len(size) < 16 else -1
@@ -104,17 +112,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Tasks look through files for places where a record might begin and emit each with its successor's place
     and its fields, but no payload; these are grouped by file and the chain is followed by pointer jumping.
     What begins within a payload is never reached; after a broken boundary a file's rest is left out.
-    Returns record_id, record_type, refers_to, payload_bytes, payload_digest (of the payload as read; a
-    revisit's as its header says). A folder without records gives no rows.
+    Files are those whose names end in .txt, .warc or .warc.gz. Returns record_id, record_type, refers_to,
+    payload_bytes, payload_digest (of the payload as read; a revisit's as its header says). A folder without
+    records gives no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc,warc.gz}").load(path).select("path", "content")
     names = ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                found = list(candidates(batch.column(1)[k].as_py()))
-                file = batch.column(0)[k].as_py()
+                file, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                found = list(candidates(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 columns = [pa.array([r[c] for r in found], t) for c, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), *columns], ["file", "at", "next", *names])
@@ -123,14 +132,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         met = reachable(records.column("at").to_numpy(), records.column("next").to_numpy())
         return records.select(names).filter(pa.array(met))
 
-    found = files.mapInArrow(emit, f"file string, at long, next long, {COLUMNS}")
+    found = mapped(files, emit, f"file string, at long, next long, {COLUMNS}")
     return found.groupBy("file").applyInArrow(follow, COLUMNS)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
     """Write the pages as archives in the shared folder and read them back: a row for each page."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     write(pages, path, key, url, payload, least)
     page = lambda c: F.regexp_extract(c, "<urn:page:(.*)>", 1)
     kind = pages.schema[key].dataType

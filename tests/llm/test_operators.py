@@ -492,6 +492,28 @@ def test_warc(spark):
     assert [(got[k].record_type, got[k].refers_to) for k in (1, 2, 7, 3, 4)] == [("revisit", 7), ("revisit", 7), ("response", None), ("revisit", 4), ("response", None)]
 
 
+def test_warc_of_null_and_repeated_keys_and_files_by_other_names(spark, tmp_path):
+    import gzip
+
+    rows = [(None, None, "alone"), (None, "u", "both"), (4, "u", "both"), (5, None, "twice"), (5, None, "twice")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in warc.round_trip(pages).collect())
+    assert got == sorted([("None", "response", "None", 5), ("None", "revisit", "4", 4), ("4", "response", "None", 4), ("5", "response", "None", 5), ("5", "response", "None", 5)])
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record * 2)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record))
+    (tmp_path / "c.other").write_bytes(record)
+    assert [r.payload_bytes for r in warc.read(spark, str(tmp_path)).collect()] == [3] * 4
+
+
+def test_warc_files_stay_within_their_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE", 20_000)
+    pages = spark.createDataFrame([(k, "u", prose(k, 300)) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("*.txt")]
+    assert len(sizes) > 5 and max(sizes) <= 20_000 and warc.read(spark, str(tmp_path / "w")).count() == 60
+
+
 def brute(texts, length):
     first, out = {}, {}
     for k, t in texts:

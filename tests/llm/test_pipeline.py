@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 
 
@@ -12,3 +14,31 @@ def test_stages_keep_the_columns_and_take_effect(spark):
             counts.append(docs.select("doc_id").distinct().count())
     assert counts == sorted(counts, reverse=True) and counts[1] < counts[0] and counts[-1] > counts[0] / 2
     assert {"sequence_id", "offset", "ids_crc32"} <= set(docs.columns)
+
+
+def words(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(n))
+
+
+def test_stages_on_edge_cases(spark, tmp_path):
+    """Nulls in all columns, empty and long texts, repeated rows, clashing names and empty tables go through run()."""
+    schema = "doc_id long, text string, lang string, n_chars long, score double, `a.b` int, n_bytes long"
+    whole = words(1, 200)
+    rows = [(1, whole, "en", len(whole), 0.5, 1, 7), (2, whole, None, None, None, None, None), (3, None, None, None, None, None, None), (4, "", "en", 0, 0.1, 2, 8), (None, "no key", None, None, None, None, None), (5, words(2, 30_000), "en", 1, 0.1, 3, 9)]
+    rows += [(6, words(3, 120), "en", 1, 0.1, 4, 10)] * 2 + [(7, f"{words(4, 60)} {words(9, 40)} {words(5, 60)}", "en", 1, 0.1, 5, 11)]
+    labels = [(k, k % 2) for k in range(20)]
+    for name, docs in (("some", rows), ("none", [])):
+        sf = tmp_path / name
+        spark.createDataFrame(docs, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(labels if docs else [], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, words(9, 40)), (2, None), (3, "")] if docs else [], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        kept = spark.read.parquet(f"{sf}/documents.parquet")
+        columns = kept.columns
+        for stage, function in corpus_pipeline.STAGES[1:4]:
+            kept = corpus_pipeline.settle(function(spark, kept, str(sf)), stage.replace(" ", "-"))
+            assert kept.columns == columns
+        got = {(r.doc_id, r.n_bytes) for r in kept.collect()}
+        assert got == ({(1, 7), (3, None), (4, 8), (None, None), (5, 9), (6, 10)} if docs else set())
+        packed = corpus_pipeline.run(spark, str(sf))
+        assert {r.doc_id for r in packed.collect()} <= {k for k, _ in got}
