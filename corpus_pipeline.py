@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.llm import decontaminate, minhash, packing, quality, suffix
-from flowmill.llm.common import settle, table
+from flowmill.llm.common import free_names, settle, table
 
 REJECT = 0.3  # a document of a lower quality score goes
 
@@ -20,7 +20,8 @@ REJECT = 0.3  # a document of a lower quality score goes
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; its examples are documents of the stage's input."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="__score").filter(F.col("__score") >= REJECT).drop("__score")
+    score = free_names(docs, "score")[0]
+    return quality.score(docs, model, out=score).filter(F.col(score) >= REJECT).drop(score)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
