@@ -1,5 +1,6 @@
 """Flow predicates as Columns. They are true or false, never null: an absent element fails every
-comparison but "not equal", so NOT, AND, OR and XOR of them follow two-valued logic."""
+comparison but "not equal", so NOT, AND, OR and XOR of them follow two-valued logic. Absence is tested
+beside the comparison, not put around it, so that both reach the scan."""
 
 from __future__ import annotations
 
@@ -38,7 +39,8 @@ def _members(name: str) -> tuple[str, ...]:
 def compare(name: str, op: str, value: str | int | float | Column) -> Column:
     """A comparison; over a group of elements any member may meet it, for != all must."""
     value = value if isinstance(value, Column) else F.lit(number(value))
-    each = [F.coalesce(_OPS[op](F.col(m), value), F.lit(op == "!=")) for m in _members(name)]
+    met = (lambda c: c.isNull() | value.isNull() | (c != value)) if op == "!=" else (lambda c: c.isNotNull() & value.isNotNull() & _OPS[op](c, value))
+    each = [met(F.col(m)) for m in _members(name)]
     return reduce(operator.and_ if op == "!=" else operator.or_, each)
 
 
@@ -47,31 +49,31 @@ def exists(name: str) -> Column:
 
 
 def one_of(name: str, values: list) -> Column:
-    return reduce(operator.or_, [F.coalesce(F.col(m).isin(*map(number, values)), F.lit(False)) for m in _members(name)])
+    return reduce(operator.or_, [F.col(m).isNotNull() & F.col(m).isin(*map(number, values)) for m in _members(name)])
 
 
 def in_network(name: str, network: str) -> Column:
     """CIDR as a range of numbers (IPv4) or of 16-byte strings (IPv6), which Parquet statistics can prune."""
     net = ipaddress.ip_network(network, strict=False)
     low, high = (int(net[0]), int(net[-1])) if net.version == 4 else (bytearray(net[0].packed), bytearray(net[-1].packed))
-    return reduce(operator.or_, [F.coalesce(F.col(m).between(F.lit(low), F.lit(high)), F.lit(False)) for m in _members(name)])
+    return reduce(operator.or_, [F.col(m).isNotNull() & F.col(m).between(F.lit(low), F.lit(high)) for m in _members(name)])
 
 
 def any_flags(letters: str, name: str = "flg") -> Column:
     mask = sum(FLAGS[c] for c in letters)
-    return F.coalesce(F.col(element(name)).bitwiseAND(mask) > 0, F.lit(False))
+    return F.col(element(name)).isNotNull() & (F.col(element(name)).bitwiseAND(mask) > 0)
 
 
 def all_flags(letters: str, name: str = "flg") -> Column:
     mask = sum(FLAGS[c] for c in letters)
-    return F.coalesce(F.col(element(name)).bitwiseAND(mask) == mask, F.lit(False))
+    return F.col(element(name)).isNotNull() & (F.col(element(name)).bitwiseAND(mask) == mask)
 
 
 def text(column: str, how: str, value: str) -> Column:
     """how: contains, is, starts, ends, matches (regular expression), or not."""
     c = F.col(element(column))
     got = {"contains": c.contains(value), "is": c == value, "starts": c.startswith(value), "ends": c.endswith(value), "matches": c.rlike(value), "not": c != value}[how]
-    return F.coalesce(got, F.lit(how == "not"))
+    return c.isNull() | got if how == "not" else c.isNotNull() & got
 
 
 def either(a: Column, b: Column) -> Column:

@@ -21,20 +21,25 @@ def map_sql(table: dict[str, int]) -> str:
     return "map(" + ", ".join(f"'{k.lower()}', {v}" for k, v in table.items()) + ")"
 
 
+def ip4_sql(text: str) -> str:
+    return "(" + " + ".join(f"bigint(split_part({text}, '.', {k + 1})) * {256 ** (3 - k)}L" for k in range(4)) + ")"
+
+
+# Nothing here needs a lambda, so calls of literals are folded to a number, and the comparison reaches the scan.
 FUNCTIONS = {
-    "ip4(t STRING) RETURNS BIGINT": "aggregate(transform(split(t, '[.]'), x -> bigint(x)), 0L, (a, x) -> a * 256 + x)",
-    "num(t STRING) RETURNS DECIMAL(38, 6)": """CASE WHEN lower(t) LIKE '0x%' THEN CAST(conv(substr(t, 3), 16, 10) AS DECIMAL(38, 6))
-      ELSE CAST(regexp_replace(lower(t), '[kmgtul]+$', '') AS DECIMAL(18, 6)) * element_at(map('', 1L, 'k', 1000L, 'm', 1000000L, 'g', 1000000000L, 't', 1000000000000L), regexp_extract(lower(t), '([kmgt]?)[ul]*$', 1)) END""",
-    "in_net(a BIGINT, net STRING) RETURNS BOOLEAN": """coalesce(shiftright(a, 32 - int(split_part(net, '/', 2))) =
-      shiftright(aggregate(transform(split(split_part(net, '/', 1), '[.]'), x -> bigint(x)), 0L, (s, x) -> s * 256 + x), 32 - int(split_part(net, '/', 2))), false)""",
-    "in_net6(a BINARY, net STRING) RETURNS BOOLEAN": "coalesce(startswith(lower(hex(a)), net), false)",
+    "ip4(t STRING) RETURNS BIGINT": ip4_sql("t"),
+    "num(t STRING) RETURNS BIGINT": """CASE WHEN lower(t) LIKE '0x%' THEN bigint(conv(substr(t, 3), 16, 10))
+      ELSE bigint(CAST(regexp_replace(lower(t), '[kmgtul]+$', '') AS DECIMAL(18, 6)) * element_at(map('', 1L, 'k', 1000L, 'm', 1000000L, 'g', 1000000000L, 't', 1000000000000L), regexp_extract(lower(t), '([kmgt]?)[ul]*$', 1))) END""",
+    "in_net(a BIGINT, net STRING) RETURNS BOOLEAN": f"""a IS NOT NULL
+      AND a >= shiftleft(shiftright({ip4_sql("split_part(net, '/', 1)")}, 32 - int(split_part(net, '/', 2))), 32 - int(split_part(net, '/', 2)))
+      AND a < shiftleft(1 + shiftright({ip4_sql("split_part(net, '/', 1)")}, 32 - int(split_part(net, '/', 2))), 32 - int(split_part(net, '/', 2)))""",
+    "in_net6(a BINARY, net STRING) RETURNS BOOLEAN": "a IS NOT NULL AND startswith(lower(hex(a)), net)",
     "flag_bits(letters STRING) RETURNS INT": "aggregate(transform(split(upper(letters), ''), x -> element_at(map('F', 1, 'S', 2, 'R', 4, 'P', 8, 'A', 16, 'U', 32, 'E', 64, 'C', 128, 'N', 256, 'X', 511, '', 0), x)), 0, (a, x) -> a | x)",
-    "all_flags(f INT, bits INT) RETURNS BOOLEAN": "coalesce(f & bits = bits, false)",
-    "any_flags(f INT, bits INT) RETURNS BOOLEAN": "coalesce(f & bits > 0, false)",
+    "all_flags(f INT, bits INT) RETURNS BOOLEAN": "f IS NOT NULL AND f & bits = bits",
+    "any_flags(f INT, bits INT) RETURNS BOOLEAN": "f IS NOT NULL AND f & bits > 0",
     "proto(name STRING) RETURNS INT": f"element_at({map_sql({v: k for k, v in PROTOCOLS.items()})}, lower(name))",
     "port(name STRING) RETURNS INT": f"element_at({map_sql(PORTS)}, lower(name))",
     "millis(t STRING) RETURNS BIGINT": "unix_millis(to_timestamp(t, 'yyyy/MM/dd.HH:mm:ss'))",
-    "same(a BIGINT, b BIGINT) RETURNS BOOLEAN": "coalesce(a = b, false)",
 }
 
 
@@ -52,7 +57,7 @@ def columns_of(condition: str) -> str:
 
 
 def where(flows: DataFrame, condition: str) -> DataFrame:
-    """The flows that meet a condition, as: %byt > num('1.5k') AND in_net(%srcip4, '10.0.0.0/8') OR %dp IN (80, port('https'))."""
+    """The flows that meet a condition, as (num() is of whole numbers): %byt > num('1.5k') AND in_net(%srcip4, '10.0.0.0/8') OR %dp IN (80, port('https'))."""
     register(flows.sparkSession)
     return flows.filter(F.expr(columns_of(condition)))
 

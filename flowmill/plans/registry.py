@@ -42,7 +42,7 @@ def add_filters() -> None:
     FILTERS.update({
         "filter_cmp": (lambda: P.compare("byt", ">=", "20k") & P.compare("pkt", "<", 30), "e0id1 >= 20000 AND e0id2 < 30"),
         "filter_cidr4": (lambda: P.in_network("sa4", "10.0.0.0/27"), f"coalesce(e0id8 BETWEEN {ip('10.0.0.0')} AND {ip('10.0.0.31')}, false)"),
-        "filter_cidr4_not": (lambda: ~P.in_network("da4", "192.168.1.0/24"), f"NOT coalesce(e0id12 BETWEEN {ip('192.168.1.0')} AND {ip('192.168.1.255')}, false)"),
+        "filter_cidr4_not": (lambda: ~P.in_network("da4", "192.168.0.64/26"), f"NOT coalesce(e0id12 BETWEEN {ip('192.168.0.64')} AND {ip('192.168.0.127')}, false)"),
         "filter_cidr6": (lambda: P.in_network("sa6", "2001:db8::/124"), "coalesce(e0id27 BETWEEN '20010db8000000000000000000000000' AND '20010db800000000000000000000000f', false)"),
         "filter_bitmask_syn": (lambda: P.any_flags("S"), "coalesce(e0id6 & 2 > 0, false)"),
         "filter_flags_all": (lambda: P.all_flags("SA"), "coalesce(e0id6 & 18 = 18, false)"),
@@ -63,7 +63,7 @@ def add_filters() -> None:
         "filter_text_regex": (lambda: P.text("httph", "matches", "^host[0-4]?[13579][.]"), "coalesce(regexp_matches(e16982id501, '^host[0-4]?[13579][.]'), false)"),
         "filter_columns": (lambda: P.compare("sp", ">", F.col("e0id11")), "coalesce(e0id7 > e0id11, false)"),
         "filter_flat_precedence": (lambda: (P.compare("proto", "=", 6) | P.compare("proto", "=", 17)) & P.compare("pkt", ">", 25), "(e0id4 = 6 OR e0id4 = 17) AND e0id2 > 25"),
-        "filter_network_mask": (lambda: P.in_network("ip4", "192.168.0.0/17"), f"coalesce(e0id8 BETWEEN {ip('192.168.0.0')} AND {ip('192.168.127.255')}, false) OR coalesce(e0id12 BETWEEN {ip('192.168.0.0')} AND {ip('192.168.127.255')}, false)"),
+        "filter_network_mask": (lambda: P.in_network("ip4", "192.168.0.0/26"), f"coalesce(e0id8 BETWEEN {ip('192.168.0.0')} AND {ip('192.168.0.63')}, false) OR coalesce(e0id12 BETWEEN {ip('192.168.0.0')} AND {ip('192.168.0.63')}, false)"),
         "filter_rate": (lambda: F.coalesce(S.bits_per_second() > 1_000_000, F.lit(False)), "coalesce(CASE WHEN e0id153 = e0id152 THEN 0 ELSE e0id1 * 8000 // (e0id153 - e0id152) END > 1000000, false)"),
     })
     for name, (predicate, sql) in FILTERS.items():
