@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, mapped, slices, text_bytes, with_field
@@ -148,9 +148,10 @@ class Net:
         return np.round(1 / (1 + np.exp(-np.clip(self.logits(data, at).astype(np.float64) + self.offset, -40, 40))), 6)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], allowed) -> tuple[list[tuple[str, int]], float]:
-    """(text, label) of at most most[label] rows of each label whose id is allowed, chosen by a hash of the id;
-    and the log-odds of label 1 among all allowed rows less those in the sample, for a fitted rule to add.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], allowed, most_bytes: int = 64 << 20) -> tuple[list[tuple[str, int]], float]:
+    """(text, label) of at most most[label] rows of each label whose id is allowed, chosen by a hash of the id,
+    and of these as many whole texts as make most_bytes, in the order of the hash (texts of a 64th of that
+    at most, as one is held by the fit many times over); and the log-odds of label 1 among all allowed rows less those in the sample, for a fitted rule to add.
 
     Each label is sampled at a rate of its own, its cap over its count, so the sample's odds are the true ones
     times the ratio of the rates; with the logarithm of that taken back, scores mean the same at every size.
@@ -164,7 +165,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     for value, count in most.items():
         part = known.filter(F.col("label") == value).orderBy(F.xxhash64("k"), "k").limit(count)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(F.col("doc_id").alias("k"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "k")
+    rows = docs.select(F.col("doc_id").alias("k"), "text").filter(F.octet_length("text") <= most_bytes // 64).join(F.broadcast(chosen), "k")
+    reached = Window.orderBy(F.xxhash64("k"), "k", "label", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the sample's rows
+    rows = rows.withColumn("reached", F.sum(F.octet_length("text")).over(reached)).filter(F.col("reached") <= most_bytes)
     return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: (r.k, r.label, r.text))], offset
 
 

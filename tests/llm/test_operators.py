@@ -206,18 +206,53 @@ def test_capped_samples_keep_the_odds(spark):
 
 
 def test_network_gradient():
+    """Of every kind of parameter, the filters and the bytes' embedding among them, against differences of the loss."""
+    rng = np.random.default_rng(1)
     net = quality.Net(dims=3, filters=4, hidden=3)
-    data, at = toxicity.joined([prose(4, 300), "short"])
+    data, at = toxicity.joined([prose(4, 300), "short", prose(5, 90)])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     _, got = net.forward(data, at)
-    g = net.gradient(got, np.array([1.0, -0.5]))
-    loss = lambda: net.forward(data, at)[0] @ np.array([1.0, -0.5])
-    for k in ("w2", "b1", "w1"):
-        where = (0,) * net.p[k].ndim
-        before = loss()
-        net.p[k][where] += 1e-3
-        assert (loss() - before) / 1e-3 == pytest.approx(g[k][where], abs=2e-2)
-        net.p[k][where] -= 1e-3
+    d = np.array([1.0, -0.5, 0.7])
+    g = net.gradient(got, d)
+    loss = lambda: net.forward(data, at)[0] @ d
+    assert set(g) == set(net.p)
+    for k, slope in g.items():
+        for _ in range(4):
+            where = (ord("e"), int(rng.integers(3))) if k == "bytes" else tuple(int(rng.integers(n)) for n in net.p[k].shape)
+            value = net.p[k][where]
+            net.p[k][where] = value + 1e-5
+            up = loss()
+            net.p[k][where] = value - 1e-5
+            down = loss()
+            net.p[k][where] = value
+            assert (up - down) / 2e-5 == pytest.approx(slope[where], rel=1e-2, abs=1e-3), k
+
+
+def test_network_sees_whole_texts_in_pieces():
+    """The answers of a few blocks at a time equal those of all, and the network written out window by window."""
+    net = quality.Net(dims=3, filters=4, hidden=3)
+    data, at = toxicity.joined([prose(6, 900), "", "x", prose(7, 500), prose(8, 200)])
+    whole = net.forward(data, at)[0]
+    assert all(np.allclose(net.logits(data, at, piece), whole, atol=1e-5) for piece in (1, 2, 3, 5, 1000))
+    p, f = net.p, net.filters
+    kernel = np.concatenate([p["conv"][:, :f], p["conv"][:, f:]])
+    for k in range(len(at) - 1):
+        text = data[at[k] : at[k + 1]]
+        blocks = max(1, -(-(len(text) + quality.STRIDE) // quality.BLOCK))
+        padded = np.r_[text, np.zeros(blocks * quality.BLOCK - len(text), np.uint8)]
+        answers = [np.maximum(p["bytes"][padded[i : i + quality.WIDTH]].reshape(-1) @ kernel + p["conv_b"], 0) for i in range(0, len(padded) - quality.WIDTH + 1, quality.STRIDE)]
+        per = quality.BLOCK // quality.STRIDE
+        block = [np.max(answers[i * per : (i + 1) * per], axis=0) for i in range(blocks)]
+        chunks = [np.maximum(x, y) for x, y in zip(block, block[1:], strict=False)] or block
+        h = [np.maximum(c @ p["w1"] + p["b1"], 0) for c in chunks]
+        assert np.concatenate([np.mean(h, axis=0), np.max(h, axis=0)]) @ p["w2"] + p["b2"][0] == pytest.approx(whole[k], abs=1e-4)
+
+
+def test_examples_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "word " * (10 if k % 2 else 2000)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 3 == 0) for k in range(40)], "doc_id long, quality boolean")
+    sample, _ = quality.labelled_sample(docs, labels, "quality", {1: 100, 0: 100}, lambda k: k >= 0, most_bytes=3200)
+    assert sample and sum(len(t) for t, _ in sample) <= 3200 and all(len(t) == 50 for t, _ in sample)
 
 
 def plain_kneser_ney(chains, grams):
