@@ -105,11 +105,11 @@ def add_top() -> None:
     top("topn_srcip_bytes", "sa4", "byt", *tcp)
     top("topn_percent", "pr", "flows")
     # the headline suite: addresses, ports, autonomous systems and hosts by bytes and by flows
-    tcp_from_web = (lambda: P.one_of("sp", [1080, 1443]) & P.compare("proto", "=", 6), "coalesce(e0id7 IN (1080, 1443), false) AND e0id4 = 6")
+    tcp_to_web = (lambda: P.one_of("dp", [80, 443]) & P.compare("proto", "=", 6), "coalesce(e0id11 IN (80, 443), false) AND e0id4 = 6")
     for key in ("sa4", "da4", "sa6", "da6"):
         for order in ("byt", "pkt", "flows"):
             top(f"bench_top_{key}_{order}", key, order)
-        top(f"bench_top_web_{key}_byt", key, "byt", *tcp_from_web)
+        top(f"bench_top_web_{key}_byt", key, "byt", *tcp_to_web)
         rates(f"bench_rate_{key}", key)
     for key in ("sp", "dp"):
         top(f"bench_top_{key}_flows", key, "flows")
