@@ -613,3 +613,20 @@ def test_two_stage_sorting():
         order = suffix.two_stage(data, 120)
         cut = [data[i:].tobytes()[:104] for i in order]
         assert cut == sorted(cut) and sorted(order) == list(range(len(data)))
+
+
+def test_a_text_of_megabytes_goes_through_every_operator(spark):
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(20_000)]
+    text = lambda n: " ".join(words[k] for k in rng.integers(0, len(words), n))
+    long = text(600_000)
+    docs = spark.createDataFrame([(k, text(200)) for k in range(8)] + [(8, long), (9, long + " end")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(8)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == {**{k: k for k in range(9)}, 9: 8}
+    assert sum(r.length for r in packing.pack(docs, PATH).select("doc_id", "length").collect() if r.doc_id == 8) > 600_000
+    assert quality.score(docs, quality.train(docs, labels)).count() == toxicity.score(docs, toxicity.train(docs, labels)).count() == 10
+    assert {r.doc_id: r.n_tokens for r in lm.score(docs).collect()}[8] == 600_001
+    assert {r.doc_id: r.payload_sha256 for r in media.round_trip(docs).collect()}[8] == hashlib.sha256(long.encode() + bytes(-len(long.encode()) % 64)).hexdigest()
+    item = spark.createDataFrame([(1, long[2_000_000:2_000_300])], "item_id long, text string")
+    assert {(r.doc_id, r.start) for r in decontaminate.matches(docs, item).filter("edits = 0").collect()} == {(8, 2_000_000), (9, 2_000_000)}
+    assert {r.doc_id: r.n_removed for r in suffix.cut(docs).collect()}[9] == len(long.encode())
