@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +27,22 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     whole by the executor and by its worker, and 10,000 long texts would be much."""
     if df.sparkSession.conf.get(BATCH_KEY) == BATCH_DEFAULT:
         df.sparkSession.conf.set(BATCH_KEY, BATCH)
-    names = df.columns
-    if not any("." in n for n in names):
-        return df.mapInArrow(run, schema)
+    names, dotted = df.columns, any("." in n for n in df.columns)
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run((pa.RecordBatch.from_arrays(b.columns, names) for b in batches) if dotted else batches)
+        give_back()
 
-    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(named, schema)  # mapInArrow() can't take names with dots
+    # mapInArrow() can't take names with dots
+    return (df.toDF(*(f"c{k}" for k in range(len(names)))) if dotted else df).mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should hold none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
 
 
 def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
