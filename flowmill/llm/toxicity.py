@@ -125,9 +125,28 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+def pieces(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts joined, about limit bytes at a time: the driver fits beside Spark."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= limit or k == len(texts) - 1:
+            yield joined(texts[first : k + 1])
+            first, size = k + 1, 0
+
+
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for data, at in pieces(texts):
+        more, n = np.unique(running(data, at)[0], return_counts=True)
+        grams, where = np.unique(np.concatenate([grams, more]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([counts, n]), len(grams)).astype(np.int64)
+    return grams, counts
+
+
 def counted(texts: list[str], y: np.ndarray) -> Model:
     """Both classes' chains, with the counts of orders under OWN shared."""
-    tops = [np.unique(running(*joined([t for t, b in zip(texts, y, strict=True) if b == c]))[0], return_counts=True) for c in (0, 1)]
+    tops = [gram_counts([t for t, b in zip(texts, y, strict=True) if b == c]) for c in (0, 1)]
     chains: tuple[list, list] = ([], [])
     fours = []
     for chain, (grams, n) in zip(chains, tops, strict=True):
@@ -152,7 +171,7 @@ def fit(texts: list[str], y: np.ndarray, folds: int = 3) -> Model:
     x = np.zeros(len(texts))
     for k in range(folds):
         others = counted([t for t, f in zip(texts, fold_of, strict=True) if f != k], y[fold_of != k])
-        x[fold_of == k] = others.difference(*joined([t for t, f in zip(texts, fold_of, strict=True) if f == k]))
+        x[fold_of == k] = np.concatenate([np.zeros(0), *(others.difference(*p) for p in pieces([t for t, f in zip(texts, fold_of, strict=True) if f == k]))])
     model = counted(texts, y)
     unit = max(x.std(), FLAT)
     x, target, w = np.stack([x / unit, np.ones(len(x))], 1), y.astype(np.float64), np.zeros(2)
