@@ -42,3 +42,59 @@ def test_stages_on_edge_cases(spark, tmp_path):
         assert got == ({(1, 7), (3, None), (4, 8), (None, None), (5, 9), (6, 10)} if docs else set())
         packed = corpus_pipeline.run(spark, str(sf))
         assert {r.doc_id for r in packed.collect()} <= {k for k, _ in got}
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """The stages behind the classifier, one by one, against all pairs, all strings and edit distances."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from flowmill.llm import minhash
+
+    passage, item = words(50, 40), words(51, 12)
+    texts = [words(60 + k, 60 + 5 * k) for k in range(8)]
+    texts += [texts[0] + " end", texts[3], f"{words(70, 30)} {passage} {words(71, 30)}", f"{words(72, 30)} {passage} {words(73, 30)}", f"{words(74, 30)} {item[:20]}x{item[21:]} {words(75, 20)}"]
+    rng = np.random.default_rng(3)
+    rows = [(int(k), texts[k], "en", "s", len(texts[k])) for k in rng.permutation(len(texts))]
+    sf = str(tmp_path)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in range(len(texts))], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+
+    idf = minhash.bucket_weights(minhash.document_frequencies(docs, "text"), len(texts))
+    sets = []
+    for t in texts:
+        _, h, n = minhash.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        sets.append((h, minhash.weights(h, n, idf)))
+    kept = []
+    for k in range(len(texts)):
+        if not any(minhash.weighted_jaccard(*sets[k], *sets[j]) >= 0.8 for j in range(k)):
+            kept.append(k)
+    assert kept == [k for k in range(len(texts)) if k not in (8, 9)]
+    seen, left = set(), {}
+    for k in kept:
+        data = texts[k].encode()
+        covered = np.zeros(len(data), bool)
+        for p in range(len(data) - 99):
+            if data[p : p + 100] in seen:
+                covered[p : p + 100] = True
+            seen.add(data[p : p + 100])
+        left[k] = np.frombuffer(data, np.uint8)[~covered].tobytes().decode()
+    assert len(left[11]) < len(texts[11]) - 150
+    for k in list(left):
+        row = [0] * (len(left[k]) + 1)
+        for i, c in enumerate(item, 1):
+            new = [i]
+            for j, d in enumerate(left[k], 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        if min(row) <= len(item) // 10:
+            del left[k]
+    assert sorted(left) == [*range(8), 10, 11]
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    size = {k: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for k, t in left.items()}
+    got = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == size
