@@ -45,8 +45,8 @@ def from_planes(blob: bytes, kind: str) -> np.ndarray:
 
 
 def counts_blob(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs; the first byte says how many."""
-    size = next(k for k in (1, 2, 4, 8) if k == 8 or int(x.max(initial=0)) < 1 << 8 * k)
+    """Counts of 4 bytes each, or 8 if the largest needs them; the first byte says which."""
+    size = 4 if int(x.max(initial=0)) < 1 << 32 else 8
     return bytes([size]) + planes(x.astype(f"u{size}"))
 
 
@@ -129,7 +129,7 @@ def counted(stored: DataFrame) -> DataFrame:
     def add(group: pa.Table) -> pa.Table:
         asked = [[from_planes(b, kind) for b in group.column(n).to_pylist()] for n, kind in (("keys", "u8"), ("kept", "u4"), ("deleted", "u4"))]
         key, inverse = np.unique(np.concatenate(asked[0]), return_inverse=True)
-        kept, deleted = (added(inverse, np.concatenate(x), len(key)) for x in asked[1:])
+        kept, deleted = (np.bincount(inverse, np.concatenate(x), len(key)).astype(np.int64) for x in asked[1:])  # exact below 2**53 tokens
         word = (key & np.uint64(1)) == 0
         both = kept + deleted
         totals = np.array([kept[word].sum(), (kept[word] > 0).sum(), both[word].sum(), (both[word] > 0).sum()], np.int64).tobytes()
@@ -142,13 +142,6 @@ def counted(stored: DataFrame) -> DataFrame:
     return settle(sent.groupBy("part").applyInArrow(add, "part int, block long, kept binary, deleted binary"), "lm-counts")
 
 
-def added(number: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    """The sums of n by number, in whole numbers of 64 bits."""
-    order = np.argsort(number, kind="stable")
-    cut = np.searchsorted(number[order], np.arange(size))
-    return np.add.reduceat(n[order].astype(np.int64), cut) if size else np.zeros(0, np.int64)
-
-
 def answered(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     right = right.sort_by("part")
     kept, deleted = (np.concatenate([from_counts_blob(b) for b in right.column(n).to_pylist()]) for n in ("kept", "deleted"))
